@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, packing, pii, quality, urls
+from . import decontam, html, lines, packing, pii, quality, urls
 from .session import cut, table
 
 #: The file of the tokenizer that packing uses; None for the public one that is installed.
@@ -22,6 +22,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("th")
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.pii_spans(table(spark, sf_dir, "documents"), pii.train())
     line = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
@@ -46,15 +50,22 @@ def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages"), urls.UrlFilter(urls.PREFIX_RULES, urls.GLOB_RULES))
 
 
+def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.dedup_lines(table(spark, sf_dir, "documents"))
+    return found.select("row.doc_id", "n_lines", "n_dropped", "n_near", F.sha2("row.text", 256).alias("kept_sha256"))
+
+
 def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), packing.WordTokenizer(tokenizer_path(), 2))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_decontam": op2_decontam,
     "op3_pii": op3_pii,
     "op5_html_text": op5_html_text,
     "op7_quality": op7_quality,
     "op8_urls": op8_urls,
+    "op9_lines": op9_lines,
     "op10_pack": op10_pack,
 }
 
