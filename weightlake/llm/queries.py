@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html, lines, packing, pii, quality, urls
+from . import decontam, html, jaccard, lines, packing, pii, quality, urls
 from .session import cut, table
 
 #: The file of the tokenizer that packing uses; None for the public one that is installed.
@@ -35,6 +35,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count(k) for k in pii.KINDS], F.sha2(line("base"), 256).alias("base_sha256"), line(order).alias("spans"), F.size("added").cast("long").alias("n_added"))
 
 
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.with_component_ids(jaccard.jaccard_components(table(spark, sf_dir, "documents")))
+
+
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = html.extract_text(table(spark, sf_dir, "pages"))
     return found.select("page_id", "text", F.char_length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
@@ -62,6 +66,7 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontam": op2_decontam,
     "op3_pii": op3_pii,
+    "op4_jaccard": op4_jaccard,
     "op5_html_text": op5_html_text,
     "op7_quality": op7_quality,
     "op8_urls": op8_urls,
