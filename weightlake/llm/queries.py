@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html, jaccard, lines, packing, pii, quality, urls
+from . import decontam, html, jaccard, lines, packing, pii, quality, substrings, urls
 from .session import cut, table
 
 #: The file of the tokenizer that packing uses; None for the public one that is installed.
@@ -22,6 +22,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), "n_spans")
+
+
 def op2_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("th")
 
@@ -64,6 +69,7 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substrings": op1_substrings,
     "op2_decontam": op2_decontam,
     "op3_pii": op3_pii,
     "op4_jaccard": op4_jaccard,
