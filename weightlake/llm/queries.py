@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html, jaccard, lines, packing, pii, quality, substrings, urls
+from . import decontam, html, jaccard, katz, lines, packing, pii, quality, substrings, urls
 from .session import cut, table
 
 #: The file of the tokenizer that packing uses; None for the public one that is installed.
@@ -49,6 +49,10 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "text", F.char_length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
 
 
+def op6_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = cut(quality.count_texts(table(spark, sf_dir, "documents")))
     model = quality.fit_quality(counts, table(spark, sf_dir, "labels"))
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pii": op3_pii,
     "op4_jaccard": op4_jaccard,
     "op5_html_text": op5_html_text,
+    "op6_katz": op6_katz,
     "op7_quality": op7_quality,
     "op8_urls": op8_urls,
     "op9_lines": op9_lines,
