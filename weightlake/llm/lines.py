@@ -26,6 +26,9 @@ from .session import cut
 #: Lines of so many characters are compared within one edit; others must be equal.
 NEAR_CHARS = (8, 2000)
 
+#: Lines up to so many are sent to their documents by a broadcast; beyond, by a shuffle.
+BROADCAST_LINES = 100_000
+
 _BLANK = " \t\n\x0b\f\r"
 
 
@@ -54,13 +57,15 @@ def _near_matches(distinct: DataFrame, docs: DataFrame, id_col: str, text_col: s
     keys = distinct.select("h1", "first", F.explode(F.array("k0", "k1", "k2", "k3")).alias("key")).where(F.col("key").isNotNull())
     # the hash of a half tells its kind, so a line has a key once
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("key")
-    flagged = keys.join(shared, "key").groupBy("h1", "first").agg(F.collect_set("key").alias("keys"))
+    flagged = cut(keys.join(shared, "key").groupBy("h1", "first").agg(F.collect_set("key").alias("keys")))
     # the lines' texts come from the documents that have them first
     wanted = flagged.groupBy(F.col("first.id").alias("wid"), F.col("first.th").alias("wth")).agg(F.collect_list(F.struct("first", "keys")).alias("lines"))
-    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text")).dropDuplicates(["id", "th"])
-    found = texts.join(wanted, (F.col("th") == F.col("wth")) & F.col("id").eqNullSafe(F.col("wid"))).select(F.split("text", "\n", -1).alias("all"), F.explode("lines").alias("x"))
+    few = flagged.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
+    found = texts.join(F.broadcast(wanted) if few else wanted, (F.col("th") == F.col("wth")) & F.col("id").eqNullSafe(F.col("wid"))).select(F.split("text", "\n", -1).alias("all"), F.explode("lines").alias("x"))
     line = F.btrim(F.get("all", F.col("x.first.no")), F.lit(_BLANK))
-    found = cut(found.select(line.alias("line"), "x.first", "x.keys").withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")}))
+    # rows that repeat id and text give a line twice
+    found = cut(found.select(line.alias("line"), "x.first", "x.keys").dropDuplicates(["first"]).withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")}))
 
     variants = []
     for key, rest, shorter in _halves(F.col("line")):
@@ -99,12 +104,11 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     else:
         rows, keys = rows.select("id", "th", "no", "h1", "h2"), []
     place = F.struct("id", "th", "no")
-    distinct = rows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"), *keys)
-    more = distinct.where(F.col("first") != F.col("last")).select("h1", "h2", "first", F.lit(False).alias("near"))
+    equal = rows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    more = equal.where(F.col("first") != F.col("last")).select("h1", "h2", "first", F.lit(False).alias("near"))
     if near:
-        distinct = cut(distinct)
-        more = distinct.where(F.col("first") != F.col("last")).select("h1", "h2", "first", F.lit(False).alias("near"))
-        close = _near_matches(distinct, docs, id_col, text_col).select("h1", "h2", F.lit(None).cast(distinct.schema["first"].dataType).alias("first"), F.lit(True).alias("near"))
+        distinct = rows.groupBy("h1", "h2").agg(F.min(place).alias("first"), *keys)
+        close = cut(_near_matches(distinct, docs, id_col, text_col)).select("h1", "h2", F.lit(None).cast(distinct.schema["first"].dataType).alias("first"), F.lit(True).alias("near"))
         more = more.unionByName(close).groupBy("h1", "h2").agg(F.min("first").alias("first"), F.max("near").alias("near"))
     occurrences = rows.select("id", "th", "no", "h1", "h2")
     out = occurrences.join(more, ["h1", "h2"]).where(F.col("near") | (F.struct("id", "th", "no") != F.col("first")))
