@@ -35,7 +35,7 @@ def human_size(n: Column) -> Column:
     units = [(2.0**40, "TiB"), (2.0**30, "GiB"), (2.0**20, "MiB"), (2.0**10, "KiB")]
     out = F.format_string("%d B", n)
     for scale, unit in reversed(units):
-        out = F.when(n >= scale, F.format_string(f"%.2f {unit}", n / scale)).otherwise(out)
+        out = F.when(n >= scale, F.format_string(f"%.2f {unit}", F.bround(n / scale, 2))).otherwise(out)
     return out
 
 
