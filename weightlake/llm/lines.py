@@ -104,10 +104,10 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     else:
         rows, keys = rows.select("id", "th", "no", "h1", "h2"), []
     place = F.struct("id", "th", "no")
-    equal = rows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    more = equal.where(F.col("first") != F.col("last")).select("h1", "h2", "first", F.lit(False).alias("near"))
+    # one row for each different line, kept because it is used three times
+    distinct = cut(rows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"), *keys).withColumn("again", F.col("first") != F.col("last")).drop("last"))
+    more = distinct.where("again").select("h1", "h2", "first", F.lit(False).alias("near"))
     if near:
-        distinct = rows.groupBy("h1", "h2").agg(F.min(place).alias("first"), *keys)
         close = cut(_near_matches(distinct, docs, id_col, text_col)).select("h1", "h2", F.lit(None).cast(distinct.schema["first"].dataType).alias("first"), F.lit(True).alias("near"))
         more = more.unionByName(close).groupBy("h1", "h2").agg(F.min("first").alias("first"), F.max("near").alias("near"))
     occurrences = rows.select("id", "th", "no", "h1", "h2")
@@ -126,4 +126,5 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = F.when(F.size(gone) == 0, F.col("row").getField(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(all_lines, i)), "\n"))
     count = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
     fields = [text.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns]
-    return rows.select(F.struct(*fields).alias("row"), F.coalesce(F.size(all_lines), F.lit(0)).cast("long").alias("n_lines"), (count("drop") + count("near")).alias("n_dropped"), count("near").alias("n_near"))
+    n_lines = F.octet_length(F.col("row").getField(text_col)) - F.octet_length(F.replace(F.col("row").getField(text_col), F.lit("\n"), F.lit(""))) + 1
+    return rows.select(F.struct(*fields).alias("row"), F.coalesce(n_lines, F.lit(0)).cast("long").alias("n_lines"), (count("drop") + count("near")).alias("n_dropped"), count("near").alias("n_near"))
