@@ -179,7 +179,7 @@ def _cells(table: Node, depth: int) -> tuple[list[list[str]], list[str]]:
             if isinstance(child, str) or _hidden(child):
                 continue
             if child.tag == "tr":
-                rows.append([" ".join(_render(c, depth + 1).split("\n")).strip() for c in child.children if isinstance(c, Node) and c.tag in ("td", "th") and not _hidden(c)])
+                rows.append([" ".join(x.strip() for x in _render(c, depth + 1).split("\n") if x.strip()) for c in child.children if isinstance(c, Node) and c.tag in ("td", "th") and not _hidden(c)])
             elif child.tag == "caption":
                 captions.append(" ".join(_render(child, depth + 1).split()))
             else:

@@ -95,10 +95,12 @@ def _discounted(d: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 def _pack(x: np.ndarray) -> bytes:
     """Non-negative whole numbers, byte planes apart, compressed."""
-    top = int(x.max()) if len(x) else 0
+    if not len(x):
+        return b""
+    top = int(x.max())
     kind = next(k for k in ("<u1", "<u2", "<u4", "<u8") if top < 1 << 8 * int(k[2]))
     raw = x.astype(kind).view(np.uint8).reshape(len(x), -1).T.tobytes()
-    return kind[2].encode() + len(x).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(raw, asbytes=True) if len(x) else b""
+    return kind[2].encode() + len(x).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(raw, asbytes=True)
 
 
 def _unpack(b: bytes) -> np.ndarray:
