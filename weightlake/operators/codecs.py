@@ -36,16 +36,13 @@ def encode_chunks(chunks: DataFrame, settings: c.Settings = c.Settings(), data:
             get = lambda x: b.column(b.schema.get_field_index(x)).to_pylist()
             out: list[list] = [[] for _ in range(7)]
             bases = get(base) if base else [None] * b.num_rows
-            for raw, esize, kind, btype, ikind, other in zip(get(data), get("esize"), get("kind"), get("btype"), get("ikind"), bases):
-                raw = raw or b""
-                if kind == REF:
-                    e, codec, inner = c.Encoded(c.C_REF, []), c.C_REF, None
-                elif kind == DELTA:
-                    e = c.encode_chunk(k.xor(raw, other), esize, ikind, btype, settings)
-                    codec, inner = c.C_DELTA, e.codec
-                else:
-                    e = c.encode_chunk(raw, esize, kind, btype, settings)
-                    codec, inner = e.codec, None
+            rows = [(raw or b"", *rest) for raw, *rest in zip(get(data), get("esize"), get("kind"), get("btype"), get("ikind"), bases)]
+            work = [i for i, r in enumerate(rows) if r[2] != REF]
+            jobs = [c.encode_steps(k.xor(raw, other), esize, ikind, btype, settings) if kind == DELTA else c.encode_steps(raw, esize, kind, btype, settings) for raw, esize, kind, btype, ikind, other in (rows[i] for i in work)]
+            done = dict(zip(work, c.together(jobs)))
+            for i, (raw, _, kind, *_) in enumerate(rows):
+                e = done.get(i, c.Encoded(c.C_REF, []))
+                codec, inner = (c.C_DELTA, e.codec) if kind == DELTA else (e.codec, None)
                 row = (len(raw), sum(len(p) for _, _, p, _ in e.streams), zlib.crc32(raw), codec, inner, e.layout, _rows(e))
                 for column, x in zip(out, row):
                     column.append(x)
@@ -70,7 +67,11 @@ def try_decode(chunks: DataFrame, buckets: int = 8, verify: bool = True, base: s
         for b in batches:
             rows = b.to_pylist()
             out, errors = [], []
+            # a copy has no streams
+            streams = [(s["method"], s["raw"], s["payload"]) for r in rows for s in r["streams"] or ()]
+            parts = iter(c.decompress_many(streams))
             for r in rows:
+                own = [next(parts) for _ in r["streams"] or ()]
                 raw, error = None, None
                 try:
                     if r["codec"] == c.C_REF:
@@ -81,7 +82,10 @@ def try_decode(chunks: DataFrame, buckets: int = 8, verify: bool = True, base: s
                         codec = r["inner_codec"] if r["codec"] == c.C_DELTA else r["codec"]
                         if r["codec"] == c.C_DELTA and codec in (None, c.C_REF, c.C_DELTA):
                             raise c.CorruptChunk("a difference must have bytes of its own")
-                        raw = c.decode_chunk(codec, [(s["method"], s["raw"], s["payload"]) for s in r["streams"]], r["layout"], r["rlen"], buckets)
+                        for x in own:
+                            if isinstance(x, c.CorruptChunk):
+                                raise x
+                        raw = c.assemble(codec, own, r["layout"], r["rlen"], buckets)
                         if r["codec"] == c.C_DELTA:
                             if not base or r[base] is None:
                                 raise c.CorruptChunk("a difference's source is missing")
