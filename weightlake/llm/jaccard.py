@@ -87,21 +87,20 @@ def _prefix_size(n: int) -> int:
 
 
 def _sketch(s: np.ndarray, order: int) -> bytes:
-    """The first members under a hash order, beyond the prefix by a tenth of the set, as the leading 32 bits of their places."""
+    """The first members under a hash order, beyond the prefix by a tenth of the set; 16 bits of each."""
     size = min(len(s), _prefix_size(len(s)) + len(s) // 10)
-    return np.sort(mix(s + np.uint64(1000 * order + 1)))[:size].astype(np.uint64).__rshift__(np.uint64(32)).astype("<u4").tobytes()
+    return np.sort(mix(s + np.uint64(1000 * order + 1)))[:size].astype("<u2").tobytes()
 
 
 def sketches_may_link(x: np.ndarray, nx: int, y: np.ndarray, ny: int) -> bool:
-    """False only if no two sets with these leading members and sizes link: prefixes longer by l must share l + 1 members."""
+    """False only if no two sets with these first members and sizes link: prefixes longer by l must share l + 1 members. Few bits may match too often, never too seldom."""
     need = -(-PERCENT * (nx + ny) // (100 + PERCENT))
-    spare = min(len(x) - (nx - need + 1), len(y) - (ny - need + 1))
     if need > min(nx, ny):
         return False
+    spare = min(len(x) - (nx - need + 1), len(y) - (ny - need + 1))
     if spare < 0:
         return True
-    x, y = x[: nx - need + 1 + spare], y[: ny - need + 1 + spare]
-    # equal leading bits count at most once for each member of y, and never too few
+    x, y = np.sort(x[: nx - need + 1 + spare]), y[: ny - need + 1 + spare]
     at = np.searchsorted(x, y)
     return int((x[np.minimum(at, len(x) - 1)] == y).sum()) > spare
 
@@ -111,7 +110,7 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _profile(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """A row for each document (id, th, n, ref, classes), and rows of shingles that several documents of a piece of input share (token, times)."""
+    """A row for each document (id, th, n, ref, classes, second, third), and rows of shingles that several documents of a piece of input share (token, times)."""
     texts = _texts(docs, id_col, text_col)
     id_type = texts.schema["id"].dataType.simpleString()
 
@@ -133,13 +132,14 @@ def _profile(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     pa.array([*map(len, sets)] + [None] * k, pa.int64()),
                     pa.array(refs + [None] * k, pa.int64()),
                     pa.array(classes + [None] * k, pa.binary()),
+                    *(pa.array([_sketch(s, order) for s in sets] + [None] * k, pa.binary()) for order in (2, 3)),
                     pa.concat_arrays([pa.nulls(m, pa.int64()), pa.array(token[often].view(np.int64))]),
                     pa.concat_arrays([pa.nulls(m, pa.int64()), pa.array(times[often].astype(np.int64))]),
                 ],
-                names=["id", "th", "n", "ref", "classes", "token", "times"],
+                names=["id", "th", "n", "ref", "classes", "second", "third", "token", "times"],
             )
 
-    return texts.mapInArrow(run, f"id {id_type}, th bigint, n bigint, ref bigint, classes binary, token bigint, times bigint")
+    return texts.mapInArrow(run, f"id {id_type}, th bigint, n bigint, ref bigint, classes binary, second binary, third binary, token bigint, times bigint")
 
 
 def _frequent(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -244,29 +244,25 @@ def _sizes_fit(a: str, b: str):
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(ref, n, two sketches, set) for the documents (ref, rid, rth) that stand for their sets."""
+    """(ref, members) for the documents (ref, rid, rth) that stand for their sets."""
     few = wanted.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
     same = (F.col("th") == F.col("rth")) & F.col("id").eqNullSafe(F.col("rid"))
     found = _texts(docs, id_col, text_col).join(F.broadcast(wanted) if few else wanted, same).select("ref", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "t"):
-            sets = shingle_sets(b.column(1))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), *(pa.array([_sketch(s, k) for s in sets], pa.binary()) for k in (2, 3)), pa.array([s.tobytes() for s in sets], pa.binary())], names=["ref", "n", "second", "third", "members"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in shingle_sets(b.column(1))], pa.binary())], names=["ref", "members"])
 
-    return found.mapInArrow(run, "ref bigint, n bigint, second binary, third binary, members binary").dropDuplicates(["ref"])
+    return found.mapInArrow(run, "ref bigint, members binary")
 
 
-def _verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) of sets that pass the filters of all orders and link."""
-    pairs = cut(pairs)
-    nodes = pairs.select(F.col("a").alias("ref")).unionByName(pairs.select(F.col("b").alias("ref"))).distinct()
-    sets = cut(_sets_of(docs, cut(nodes.join(reps, "ref")), id_col, text_col))
+def _verify(pairs: DataFrame, sketches: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The pairs (a, b) of sets that pass the filters of all orders and link; whole sets are fetched only for pairs that pass."""
 
     def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             c = {k: b.column(k).to_pylist() for k in b.schema.names}
-            good = [all(sketches_may_link(np.frombuffer(c["a" + k][i], "<u4"), c["an"][i], np.frombuffer(c["b" + k][i], "<u4"), c["bn"][i]) for k in ("second", "third")) for i in range(b.num_rows)]
+            good = [all(sketches_may_link(np.frombuffer(c["a" + k][i], "<u2"), c["an"][i], np.frombuffer(c["b" + k][i], "<u2"), c["bn"][i]) for k in ("second", "third")) for i in range(b.num_rows)]
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(good, pa.bool_())), b.column(1).filter(pa.array(good, pa.bool_()))], names=["a", "b"])
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,10 +274,16 @@ def _verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, tex
                 good.append(100 * both >= PERCENT * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(good, pa.bool_())), b.column(1).filter(pa.array(good, pa.bool_()))], names=["a", "b"])
 
-    side = lambda k, *cols: sets.select(F.col("ref").alias(k), *[F.col(c).alias(k + c) for c in cols])
+    def both(pairs: DataFrame, data: DataFrame, cols: list[str]) -> DataFrame:
+        side = lambda k: data.select(F.col("ref").alias(k), *[F.col(c).alias(k + c) for c in cols])
+        return pairs.join(side("a"), "a").join(side("b"), "b")
+
+    nodes = lambda pairs: pairs.select(F.col("a").alias("ref")).unionByName(pairs.select(F.col("b").alias("ref"))).distinct()
+    pairs = cut(pairs)
     order = ["a", "b", "an", "asecond", "athird", "bn", "bsecond", "bthird"]
-    passed = pairs.join(side("a", "n", "second", "third"), "a").join(side("b", "n", "second", "third"), "b").select(order).mapInArrow(passing, "a bigint, b bigint")
-    return passed.join(side("a", "members"), "a").join(side("b", "members"), "b").select("a", "b", "amembers", "bmembers").mapInArrow(linked, "a bigint, b bigint")
+    passed = cut(both(pairs, sketches.join(nodes(pairs), "ref", "left_semi"), ["n", "second", "third"]).select(order).mapInArrow(passing, "a bigint, b bigint"))
+    sets = cut(_sets_of(docs, cut(nodes(passed).join(reps, "ref")), id_col, text_col))
+    return both(passed, sets, ["members"]).select("a", "b", "amembers", "bmembers").mapInArrow(linked, "a bigint, b bigint").distinct()
 
 
 def _across(met: DataFrame, comp: DataFrame, classes: DataFrame) -> DataFrame:
@@ -349,7 +351,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """One row for each document: id, th (hash of its text), n_shingles, ref (its set's class) and component (least ref that it reaches by links)."""
     n_parts = parts(docs.sparkSession)
     profile = cut(_profile(docs, id_col, text_col))
-    own = profile.where(F.col("n").isNotNull()).select("id", "th", "n", "ref", "classes")
+    own = profile.where(F.col("n").isNotNull())
     often = _frequent(profile.where(F.col("token").isNotNull()).select("token", "times"))
     met = cut(_meetings(docs, id_col, text_col, often, n_parts))
 
@@ -363,10 +365,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     star = met.join(pivots, "token").select("ref", "n", F.explode(F.array(F.struct("p.ref", "p.n"), F.struct("q.ref", "q.n"))).alias("other"))
     star = star.where((F.col("ref") != F.col("other.ref")) & _sizes_fit("n", "other.n")).select(F.least("ref", "other.ref").alias("a"), F.greatest("ref", "other.ref").alias("b")).distinct()
     reps = own.groupBy("ref").agg(F.min(F.struct("id", "th")).alias("r")).select("ref", F.col("r.id").alias("rid"), F.col("r.th").alias("rth"))
-    links = cut(_verify(star, reps, docs, id_col, text_col))
+    if not own.groupBy("id", "th").count().where("count > 1").isEmpty():
+        # of rows that repeat id and text one stands for their set
+        docs = docs.select(F.col(id_col), F.col(text_col)).distinct()
+    # of the sets that meet another, once each
+    sketches = cut(own.select("ref", "n", "classes", "second", "third").join(met.select("ref").distinct(), "ref", "left_semi").dropDuplicates(["ref"]))
+    links = cut(_verify(star, sketches, reps, docs, id_col, text_col))
     comp = components(links)
-    classes = own.groupBy("ref").agg(F.first("classes").alias("classes"))
-    more = cut(_verify(_across(met.select("token", "ref", "n"), comp, classes), reps, docs, id_col, text_col))
+    more = cut(_verify(_across(met.select("token", "ref", "n"), comp, sketches.select("ref", "classes")), sketches, reps, docs, id_col, text_col))
     if not more.isEmpty():
         comp = components(links.unionByName(more))
     return own.select("id", "th", "n", "ref").join(comp.withColumnRenamed("node", "ref"), "ref", "left").select(F.col("id").alias(id_col), "th", F.col("n").alias("n_shingles"), "ref", F.coalesce("component", "ref").alias("component"))
