@@ -51,7 +51,7 @@ def file_name(path: Column) -> Column:
 
 def logical_name(path: Column) -> Column:
     """A stored file's name without one storage suffix."""
-    return F.regexp_replace(path, r"\.(lmz|lmr)$", "")
+    return F.regexp_replace(path, r"\.(wlk|wlr)$", "")
 
 
 def element_width(dtype: Column) -> Column:

@@ -554,11 +554,11 @@ def human_size(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", s.human_size(n).alias("shown"))
 
 
-@query("""WITH p AS (SELECT page_id, CASE page_id % 6 WHEN 0 THEN '../' WHEN 1 THEN '/' WHEN 2 THEN 'a/../' WHEN 3 THEN 'C:' ELSE '' END || 'd' || page_id || '/x.bin.lmz' AS path FROM pages)
+@query("""WITH p AS (SELECT page_id, CASE page_id % 6 WHEN 0 THEN '../' WHEN 1 THEN '/' WHEN 2 THEN 'a/../' WHEN 3 THEN 'C:' ELSE '' END || 'd' || page_id || '/x.bin.wlk' AS path FROM pages)
 SELECT page_id, path, page_id % 6 >= 4 AS safe, 'x.bin' AS file FROM p""")
 def safe_path(spark, sf):
     lead = F.when(F.col("page_id") % 6 == 0, "../").when(F.col("page_id") % 6 == 1, "/").when(F.col("page_id") % 6 == 2, "a/../").when(F.col("page_id") % 6 == 3, "C:").otherwise("")
-    path = F.concat(lead, F.lit("d"), F.col("page_id").cast("string"), F.lit("/x.bin.lmz"))
+    path = F.concat(lead, F.lit("d"), F.col("page_id").cast("string"), F.lit("/x.bin.wlk"))
     p = table(spark, sf, "pages").select("page_id", path.alias("path"))
     return p.select("page_id", "path", s.safe_path(F.col("path")).alias("safe"), s.file_name(s.logical_name(F.col("path"))).alias("file"))
 
