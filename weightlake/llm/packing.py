@@ -34,7 +34,7 @@ from .session import cut
 from .words import find_words, pieces, text_bytes
 
 #: Entries that each generation of a worker's memory of words holds; the older of two generations is dropped.
-GENERATION = 500_000
+GENERATION = 150_000
 
 
 def _worker(key: str, make):
@@ -134,7 +134,7 @@ def tokenize(docs: DataFrame, tokenizer: WordTokenizer, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, before = TaskContext.get().partitionId(), 0
-        for b in pieces(batches, "t"):
+        for b in pieces(batches, "t", 2 << 20):
             ids, edges = tokenizer.encode(b.column(1))
             raw = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer((edges * 2).astype(np.int32)), pa.py_buffer(ids)])
             yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, part), pa.int32()), pa.array(before + edges[:-1]), b.column(0), raw], names=["part", "before", "id", "ids"])

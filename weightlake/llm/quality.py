@@ -36,6 +36,8 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 EXTRA = ["n_lines", "n_distinct_words", "n_upper", "n_digits", "n_marks"]
 #: Bound on the labelled rows that the forest is fitted on; rows with the least hash of their id are taken.
 FIT_ROWS = 8192
+#: Bytes of text that are counted at once; a worker's memory is about thirty times this.
+PIECE = 2 << 20
 #: The share of labelled good rows that the threshold may cost at most.
 CLEAN_LOSS = 0.002
 
@@ -177,7 +179,7 @@ def count_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, "t"):
+        for b in pieces(batches, "t", PIECE):
             c = text_counts(b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c[k].astype(np.int64)) for k in names)], names=["id", *names])
 
@@ -233,7 +235,7 @@ def keep_quality(docs: DataFrame, model: QualityModel, text_col: str = "text") -
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, text_col):
+        for b in pieces(batches, text_col, PIECE):
             c = text_counts(b.column(names.index(text_col)))
             yield b.filter(pa.array(model.keep(c, model.forest.score(features(c)))))
 

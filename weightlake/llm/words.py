@@ -17,7 +17,7 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 #: Texts are handled in pieces of about so many bytes; a longer text is a piece of its own.
-PIECE_BYTES = 6 << 20
+PIECE_BYTES = 4 << 20
 
 
 def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
