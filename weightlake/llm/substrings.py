@@ -56,8 +56,8 @@ class _Runs:
         self.size = np.bincount(run[whole], minlength=len(self.start)) if len(self.start) else np.zeros(0, np.int64)
         self.low = low[self.start].view(np.int64)
         self.row = row[self.start]
-        # a run that holds its minimizer twice may hold a window twice
-        self.times = np.ones(len(self.start), np.int64)
+        # a run that holds its minimizer twice may hold a window twice; one place is the least of ``span`` windows at most
+        self.times = np.where(self.size > span, 2, 1)
         for d in range(1, span):
             twin = np.flatnonzero(parts8[:-d] == parts8[d:]) if len(parts8) > d else []
             if len(twin):
@@ -141,7 +141,7 @@ def _run_rows(wanted: DataFrame, window: int) -> DataFrame:
 
 
 def _stretches(runs: DataFrame) -> DataFrame:
-    """A row for each run row and stretch of repeated edges in it: stretch, name, first edge, offset, edges, whether it ends the run, whether this row stands for the stretch, occurrences."""
+    """A row for each run row and stretch of repeated edges in it: stretch, name, first edge, offset, edges, whether it ends the run, occurrences."""
     occ_type = runs.schema["occ"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,19 +188,19 @@ def _stretches(runs: DataFrame) -> DataFrame:
         low, high = np.searchsorted(run_at, run_of), np.searchsorted(run_at, run_of, side="right")
         rows = np.repeat(np.arange(len(run_of)), high - low)
         which = np.repeat(low, high - low) + np.arange(len(rows)) - np.repeat(np.cumsum(high - low) - (high - low), high - low)
-        stands = np.zeros(len(run_of), bool)
-        stands[lead] = True
-        label = mix(name[rows].view(np.uint64) + mix(at[which].astype(np.uint64) + np.uint64(11)) + mix(digest[rows].view(np.uint64)))
+        # named by its edges, so that runs of different ends share their stretches
+        done = np.concatenate([[np.uint64(0)], np.cumsum(mix(a ^ mix(c)))])
+        label = mix(done[end + 1] - done[begin] + mix(a[begin]) + mix(c[end]) + (end - begin).astype(np.uint64))[which]
         occ = t["occ"].combine_chunks()
         occ = occ.chunk(0) if isinstance(occ, pa.ChunkedArray) else occ
         for k in range(0, len(rows), 20_000):
             s, w = rows[k : k + 20_000], which[k : k + 20_000]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(label[k : k + 20_000].view(np.int64)), pa.array(a[begin[w]].view(np.int64)), pa.array(at[w]), pa.array((end - begin + 1)[w]), pa.array(last[w]), pa.array(stands[s]), occ.take(pa.array(s))],
-                names=["stretch", "first", "at", "edges", "ends", "stands", "occ"],
+                [pa.array(label[k : k + 20_000].view(np.int64)), pa.array(a[begin[w]].view(np.int64)), pa.array(at[w]), pa.array((end - begin + 1)[w]), pa.array(last[w]), occ.take(pa.array(s))],
+                names=["stretch", "first", "at", "edges", "ends", "occ"],
             )
 
-    return runs.repartition(parts(runs.sparkSession), "low").mapInArrow(run, f"stretch bigint, first bigint, at bigint, edges bigint, ends boolean, stands boolean, occ {occ_type}")
+    return runs.repartition(parts(runs.sparkSession), "low").mapInArrow(run, f"stretch bigint, first bigint, at bigint, edges bigint, ends boolean, occ {occ_type}")
 
 
 def compact_paths(stretches: DataFrame) -> DataFrame:
@@ -209,10 +209,12 @@ def compact_paths(stretches: DataFrame) -> DataFrame:
     A stretch continues another if both are linked to no other and it stands
     right behind it at its source.
     """
-    own = stretches.where("stands").select("stretch", "first", "at", "edges", F.get("occ", F.lit(0)).alias("o"))
-    own = own.select("stretch", "first", "at", "edges", F.col("o.id").alias("id"), F.col("o.th").alias("th"), (F.col("o.start") + F.col("at")).alias("start"))
+    # a stretch's source is its earliest occurrence, so stretches that occur together have neighbouring sources
+    earliest = F.array_min(F.transform("occ", lambda o: F.struct(o.id.alias("id"), o.th.alias("th"), (o.start + F.col("at")).alias("start"))))
+    own = stretches.groupBy("stretch").agg(F.first("first").alias("first"), F.min("at").alias("least_at"), F.first("edges").alias("edges"), F.min(earliest).alias("o"))
+    own = own.select("stretch", "first", "least_at", "edges", F.col("o.id").alias("id"), F.col("o.th").alias("th"), F.col("o.start").alias("start"))
     behind = stretches.where("ends").select("stretch", F.explode(F.array_distinct(F.transform("occ", lambda o: o.next))).alias("first")).where("first != 0").distinct()
-    links = behind.join(own.where("at = 0").select("first", F.col("stretch").alias("to")), "first").select("stretch", "to")
+    links = behind.join(own.where("least_at = 0").select("first", F.col("stretch").alias("to")), "first").select("stretch", "to")
     alone = links.groupBy("stretch").agg(F.count("*").alias("n"), F.first("to").alias("to")).where("n = 1").select(F.col("stretch").alias("from"), "to")
     alone = alone.groupBy("to").agg(F.count("*").alias("n"), F.first("from").alias("from")).where("n = 1").select(F.col("to").alias("stretch"), "from")
     one_in = links.groupBy("to").agg(F.count("*").alias("n")).where("n = 1").select(F.col("to").alias("stretch"))
