@@ -8,24 +8,17 @@ from pyspark.sql import functions as F
 from ..plans.session import share
 
 
-def new_members(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """``new``, or a failing query if a member is there already. Both sides are read only by their keys for the check."""
-    clash = new.select(*keys).join(old.select(*keys), keys, "left_semi").agg(F.count("*").alias("_n"))
-    checked = new.crossJoin(F.broadcast(clash))  # one row
-    first = new.columns[0]
-    fault = F.raise_error(F.concat(F.lit("members are there already: "), F.col("_n").cast("string")))
-    return checked.withColumn(first, F.when(F.col("_n") == 0, F.col(first)).otherwise(fault.cast(new.schema[first].dataType))).drop("_n")
-
-
 def clashing(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """New members that are there already."""
     return new.join(old.select(*keys), keys, "left_semi")
 
 
 def append_members(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Old and new members; new ones take the offsets after the old total."""
-    total = old.agg(F.coalesce(F.max(F.col("dst") + F.col("size")), F.lit(0)).alias("_total"))
-    placed = new_members(old, new, keys).crossJoin(F.broadcast(total)).withColumn("dst", F.col("dst") + F.col("_total")).drop("_total")  # one row
-    return old.unionByName(placed.select(*old.columns))
+    """Old and new members; new ones take the offsets after the old total. A member that is there already is an error before anything else happens."""
+    if not clashing(old, new, keys).isEmpty():
+        raise ValueError("members are there already")
+    total = old.agg(F.coalesce(F.max(F.col("dst") + F.col("size")), F.lit(0)).alias("n")).first().n
+    return old.unionByName(new.withColumn("dst", F.col("dst") + total).select(*old.columns))
 
 
 def upsert(catalog: DataFrame, entries: DataFrame, key: str = "name") -> DataFrame:
