@@ -26,6 +26,9 @@ from .session import cut
 #: Lines of so many characters are compared within one edit; others must be equal.
 NEAR_CHARS = (8, 2000)
 
+#: Lines that make up more than one part in SHARES of all are dealt over SALTS tasks.
+SHARES = 1000
+SALTS = 64
 #: Lines up to so many are sent to their documents by a broadcast; beyond, by a shuffle.
 BROADCAST_LINES = 100_000
 
@@ -105,13 +108,19 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         rows, keys = rows.select("id", "th", "no", "h1", "h2"), []
     place = F.struct("id", "th", "no")
     # one row for each different line, kept because it is used three times
-    distinct = cut(rows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"), *keys).withColumn("again", F.col("first") != F.col("last")).drop("last"))
+    distinct = cut(rows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n"), *keys).withColumn("again", F.col("first") != F.col("last")).drop("last"))
     more = distinct.where("again").select("h1", "h2", "first", F.lit(False).alias("near"))
     if near:
         close = cut(_near_matches(distinct, docs, id_col, text_col)).select("h1", "h2", F.lit(None).cast(distinct.schema["first"].dataType).alias("first"), F.lit(True).alias("near"))
         more = more.unionByName(close).groupBy("h1", "h2").agg(F.min("first").alias("first"), F.max("near").alias("near"))
-    occurrences = rows.select("id", "th", "no", "h1", "h2")
-    out = occurrences.join(more, ["h1", "h2"]).where(F.col("near") | (F.struct("id", "th", "no") != F.col("first")))
+    # a line with over a share of all lines is split; by its definition there are fewer than SHARES of them
+    total = distinct.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+    often = distinct.where(F.col("n") > total / SHARES).select("h1", "h2", F.lit(True).alias("often"))
+    salt = F.when(F.col("often"), F.pmod(F.xxhash64("id", "th"), F.lit(SALTS))).otherwise(0).cast("int").alias("salt")
+    occurrences = rows.select("id", "th", "no", "h1", "h2").join(F.broadcast(often), ["h1", "h2"], "left").select("id", "th", "no", "h1", "h2", salt)
+    salts = F.sequence(F.lit(0), F.when(F.col("often"), SALTS - 1).otherwise(0))
+    more = more.join(F.broadcast(often), ["h1", "h2"], "left").select("h1", "h2", "first", "near", F.explode(salts).alias("salt"))
+    out = occurrences.join(more, ["h1", "h2", "salt"]).where(F.col("near") | (F.struct("id", "th", "no") != F.col("first")))
     return out.groupBy("id", "th").agg(F.collect_set(F.when(~F.col("near"), F.col("no"))).alias("drop"), F.collect_set(F.when(F.col("near"), F.col("no"))).alias("near"))
 
 
