@@ -41,7 +41,7 @@ from .words import find_words, hash_values, mix, pieces
 #: Counts above this are not discounted.
 CUTOFF = 5
 #: Bytes of text in a batch.
-BATCH_BYTES = 10 << 20
+BATCH_BYTES = 8 << 20
 
 # White space is in no word, so these hashes stand for what is not a word.
 _END, _START = hash_values(pa.array([b"\nend", b"\nstart"], pa.binary()))
