@@ -29,7 +29,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that an earlier document or line has; documents that lose all their lines go."""
-    found = lines.dedup_lines(docs)
+    found = lines.dedup_lines(docs, longest=None)
     text = F.col("row.text")
     left = found.where((F.col("n_dropped") == 0) | (F.length(F.btrim(text, F.lit(" \t\n\x0b\f\r"))) > 0))
     fields = [F.char_length(text).cast("long").alias(c) if c == "n_chars" else F.col(f"row.{c}").alias(c) for c in docs.columns]

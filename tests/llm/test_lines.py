@@ -91,3 +91,36 @@ def test_repeated_rows_and_clashing_columns(spark):
     assert len(got) == 3 and got[1][0] == got[2][0] if got[0][0] != got[1][0] else got[0] == got[1]
     kept = {t for t, _, _ in got}
     assert kept in ({"one line of text\nother", "more"}, {"other", "one line of texts\nmore"})
+
+
+def test_long_lines(spark, monkeypatch):
+    """Lines of 3,000 to 50,000 characters, with one edit and with two, against brute force without an upper bound."""
+    rng = random.Random(9)
+    pool = ["".join(rng.choice("abcdé \U0001f600") for _ in range(n)) for n in (1999, 2000, 2001, 2002, 3000, 3999, 4001, 8000, 20_000, 50_000)]
+    pool += ["ab" * 3000, "y" * 5000, "0123456789" * 700]
+    texts = []
+    for s in pool:
+        texts += [s] + [edited(rng, s) for _ in range(5)] + [edited(rng, edited(rng, s)) for _ in range(2)]
+        # edits at the ends, in the middle, at block borders and in two blocks
+        for k in (0, 999, 1000, len(s) // 2 - 1, len(s) // 2, len(s) // 2 + 1000, len(s) - 1):
+            texts += [s[:k] + "#" + s[k:], s[:k] + s[k + 1 :], s[:k] + "#" + s[k + 1 :]]
+        texts += [s[:500] + "#" + s[500:-500] + "#" + s[-500:], s[::-1], s]
+    rng.shuffle(texts)
+    rows = [(i, "\n".join(texts[i * 5 : i * 5 + 5])) for i in range((len(texts) + 4) // 5)]
+    df = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), longest=None)
+    got = {r.row.doc_id: (r.row.text, r.n_dropped, r.n_near) for r in df.collect()}
+    monkeypatch.setattr(lines, "NEAR_CHARS", (lines.NEAR_CHARS[0], 10**9))
+    want = brute(rows)
+    assert sum(x[2] for x in want.values()) > 200
+    assert got == want
+
+
+def test_long_lines_in_query_and_pipeline(spark, tmp_path):
+    import corpus_pipeline
+    from weightlake.llm import queries
+
+    text = "x".join(str(i) for i in range(2000))
+    docs = spark.createDataFrame([(1, text + "\nkept"), (2, text[:4000] + "#" + text[4001:] + "\nalso kept")], "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r.doc_id: r.n_near for r in queries.op9_lines(spark, str(tmp_path)).collect()} == {1: 0, 2: 1}
+    assert {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}[2] == "also kept"

@@ -64,7 +64,7 @@ def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lines.dedup_lines(table(spark, sf_dir, "documents"))
+    found = lines.dedup_lines(table(spark, sf_dir, "documents"), longest=None)
     return found.select("row.doc_id", "n_lines", "n_dropped", "n_near", F.sha2("row.text", 256).alias("kept_sha256"))
 
 
