@@ -1,8 +1,8 @@
 """Personal data: exact base patterns, and a semi-Markov CRF for spans beyond them.
 
 Base spans are found by four patterns. A semi-Markov conditional random field
-then scores whole candidate segments of the words around digits and ``@``
-(up to MAX_WORDS words each) with whole-span features, and dynamic
+then scores whole candidate segments of the words around digits, ``@`` and
+``at`` in brackets (up to MAX_WORDS words each) with whole-span features, and dynamic
 programming chooses boundaries and kinds jointly. Spans of the model are added
 where they overlap no base span.
 
@@ -254,21 +254,35 @@ def train(n: int = 1500, seed: int = 11) -> SemiCRF:
 
 _FLAG = np.zeros(256, bool)
 _FLAG[list(b"0123456789@")] = True
+_OPEN = np.zeros(256, bool)
+_OPEN[list(b"([")] = True
+_SHUT = np.zeros(256, bool)
+_SHUT[list(b")]")] = True
 _JOIN = np.zeros(256, bool)
 _JOIN[list(b"()+.-")] = True
 
 
 def _zones(col: pa.Array) -> Iterator[tuple[int, int, str]]:
-    """(row, code point offset, text) of each run of words that have a digit or an @, or only ( ) + . -; no base match reaches beyond."""
+    """(row, code point offset, text) of each run of words around those that have a digit, an @ or an ``at`` in brackets; no base match and no segment reaches beyond.
+
+    A run has the words that a segment with such a word can have, the word
+    before them, and neighbours of only ( ) + . -, which a phone number can have.
+    """
     data, at = text_bytes(col)
     if not len(data):
         return
     flags = _FLAG[data]
+    marks = np.flatnonzero((data[1:-2] == ord("a")) & (data[2:-1] == ord("t"))) if len(data) > 3 else np.zeros(0, np.int64)
+    flags[marks[_OPEN[data[marks]] & _SHUT[data[marks + 3]]]] = True
     if not flags.any():
         return
     words = find_words(col)
+    marked = np.unique(np.searchsorted(words.starts, np.flatnonzero(flags), side="right") - 1)
+    of = np.searchsorted(words.rows, marked, side="right") - 1
     hot = np.zeros(len(words.starts), bool)
-    hot[np.searchsorted(words.starts, np.flatnonzero(flags), side="right") - 1] = True
+    for step in range(-MAX_WORDS, MAX_WORDS):
+        near = marked + step
+        hot[near[(near >= words.rows[of]) & (near < words.rows[of + 1])]] = True
     joined = np.zeros(len(data) + 1, np.int64)
     np.cumsum(_JOIN[data], out=joined[1:])
     ends = words.starts + words.lengths
