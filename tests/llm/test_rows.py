@@ -149,6 +149,27 @@ def test_rendering(source, text):
         assert html.render(source) == text
 
 
+@pytest.mark.parametrize(
+    "source, text",
+    [
+        ("<!doctype html><html><head><meta charset=utf-8><title>t</title><body><p>seen</p></body></html>", "seen"),
+        ("<html><head><title>t</title><style>p{}</style><script>x()</script><link rel=x><body>a<p>b", "a\n\nb"),
+        ("<head><title>t</title>\n<p>seen", "seen"),
+        ("<head><title>t</title> seen <b>too</b>", "seen too"),
+        ("<head><title>t</title><x-app>seen</x-app>", "seen"),
+        ("<head><title>t</title></p>a<br>b", "a\nb"),
+        ("<head>&lt;a", "<a"),
+        ("<head>1 < 2", "1 < 2"),
+        ("<head><noscript><link></noscript><template><p>no</template></head><body>seen", "seen"),
+        ("<body>a<head>b</head>c", "abc"),
+        ("<head><html><meta name=x>\n<title>t</title><body>seen", "seen"),
+        ("<head><bgsound src=x><head><title>t</title>seen", "seen"),
+    ],
+)
+def test_head_without_end(source, text):
+    assert html.render(source) == text
+
+
 def test_deep_and_long_pages():
     assert html.render("<div>" * 20_000 + "x") == "x"
     assert html.render("<b>" * 20_000 + "x" + "</i>" * 100) == "x"

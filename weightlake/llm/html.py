@@ -46,6 +46,8 @@ CLOSES = {
     "option": ({"option"}, {"select", "datalist"}),
     "optgroup": ({"option", "optgroup"}, {"select"}),
 }
+#: What may be in a head, all void or raw; any other start tag, and text, ends it.
+IN_HEAD = frozenset("base link meta title noscript noframes style script template".split())
 _CLOSE_P = BLOCK - {"html", "body", "option", "optgroup", "legend"} | {"hr"}
 
 
@@ -82,16 +84,22 @@ def build(source: str) -> Node:
             if cut:
                 pop_to(cut)
 
+    def add_text(s: str) -> None:
+        # only raw elements, which are not on the stack, can be open within a head
+        if stack[-1].tag == "head" and _GAP.sub("", s):
+            pop_to(len(stack) - 1)
+        stack[-1].children.append(s)
+
     while at < len(source):
         lt = source.find("<", at)
         if lt < 0:
-            stack[-1].children.append(html.unescape(source[at:]))
+            add_text(html.unescape(source[at:]))
             break
         if lt > at:
-            stack[-1].children.append(html.unescape(source[at:lt]))
+            add_text(html.unescape(source[at:lt]))
         m = _TOKEN.match(source, lt)
         if not m:
-            stack[-1].children.append("<")
+            add_text("<")
             at = lt + 1
             continue
         at = m.end()
@@ -105,9 +113,13 @@ def build(source: str) -> Node:
                 if name in BLOCK or name in CLOSES or name in ("tr", "tbody", "table") or not any(x.tag in ("td", "th", "table") for x in stack[k + 1 :]):
                     pop_to(k)
             elif name in ("br", "p"):
+                if stack[-1].tag == "head":
+                    pop_to(len(stack) - 1)
                 stack[-1].children.append(Node(name))
         elif name := m[2]:
             name = name.lower()
+            if stack[-1].tag == "head" and name not in IN_HEAD:
+                pop_to(len(stack) - 1)
             if name in _CLOSE_P and open_count.get("p"):
                 close({"p"}, {"td", "th", "table", "button"})
             if name in CLOSES:
