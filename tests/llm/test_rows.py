@@ -170,6 +170,43 @@ def test_head_without_end(source, text):
     assert html.render(source) == text
 
 
+@pytest.mark.parametrize(
+    "source, text",
+    [
+        ("<table><td>x</table>", "x"),
+        ("<table><tbody><td>x<td>y<tr><td>z</table>", "x  y\nz"),
+        ("<table><tr><form><td>a</td><td>b</td></form></tr></table>c", "a  b\n\nc"),
+        ("<form><table><tr><td>a</td><form><td>b</td></form><td>c</table>d", "a  b  c\n\nd"),
+        ("<table><div><tr><td>a</td></div><td>b</table>", "a  b"),
+        ("<table>stray<tr><td>a</table>", "stray\n\na"),
+        ("<table><tbody>s1<tr>s2<td>a</td>s3</tr><p>s4</p></tbody></table>z", "s1s2s3\n\ns4\n\na\n\nz"),
+        ("<table><caption>c<tr><td>a</table>", "c\na"),
+        ("<table><colgroup><col><tr><td>a<td>b</table>", "a  b"),
+        ("<table>\n <tr>\n <!-- x --> <td>a</td>\n </tr>\n</table>", "a"),
+        ("<div><table><tr><td>a</div>b<td>c</table>", "ab  c"),
+        ("<table><tr><td>a<table></tr><td>in</table><td>b</table>", "a in  b"),
+        ("<table><tr><td hidden>no<td>a<div style='display:none'>no</table>", "a"),
+        ("<table><tr><th>h<td><table><td>p<td>q</table></table>", "h  p  q"),
+        ("<table><ul><li>s</ul><a href=x>t</a><td>a</table>", "- s\n\nt\n\na"),
+    ],
+)
+def test_loose_tables(source, text):
+    assert html.render(source) == text
+
+
+def test_no_visible_word_of_a_table_is_lost():
+    rng = random.Random(6)
+    tags = "table tbody thead tr td th caption colgroup form div p b ul li span".split()
+    for _ in range(2000):
+        parts, n = ["<table>"], 0
+        for _ in range(rng.randint(1, 25)):
+            tag = rng.choice(tags)
+            parts.append(rng.choice([f"<{tag}>", f"<{tag}>", f"</{tag}>", " ", f"w{n} "]))
+            n += 1
+        source = "".join(parts)
+        assert sorted(re.findall(r"w[0-9]+", html.render(source))) == sorted(re.findall(r"w[0-9]+", source)), source
+
+
 def test_deep_and_long_pages():
     assert html.render("<div>" * 20_000 + "x") == "x"
     assert html.render("<b>" * 20_000 + "x" + "</i>" * 100) == "x"

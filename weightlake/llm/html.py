@@ -46,6 +46,12 @@ CLOSES = {
     "option": ({"option"}, {"select", "datalist"}),
     "optgroup": ({"option", "optgroup"}, {"select"}),
 }
+#: Where a part of an open table goes: the parts of the table that stay open; what else is open within it is closed.
+_WITHIN = {
+    "td": frozenset("thead tbody tfoot tr".split()),
+    "th": frozenset("thead tbody tfoot tr".split()),
+    "tr": frozenset("thead tbody tfoot".split()),
+} | dict.fromkeys("caption colgroup col thead tbody tfoot".split(), frozenset())
 #: What may be in a head, all void or raw; any other start tag, and text, ends it.
 IN_HEAD = frozenset("base link meta title noscript noframes style script template".split())
 _CLOSE_P = BLOCK - {"html", "body", "option", "optgroup", "legend"} | {"hr"}
@@ -84,6 +90,21 @@ def build(source: str) -> Node:
             if cut:
                 pop_to(cut)
 
+    def enter_table(name: str) -> None:
+        """Make the open table, or its open row, the place of a new part."""
+        k = len(stack) - 1
+        while stack[k].tag != "table":
+            k -= 1
+        k += 1
+        while k < len(stack) and stack[k].tag in _WITHIN[name]:
+            k += 1
+        pop_to(k)
+        if name in ("td", "th") and stack[-1].tag != "tr":
+            row = Node("tr")
+            stack[-1].children.append(row)
+            stack.append(row)
+            open_count["tr"] = open_count.get("tr", 0) + 1
+
     def add_text(s: str) -> None:
         # only raw elements, which are not on the stack, can be open within a head
         if stack[-1].tag == "head" and _GAP.sub("", s):
@@ -109,8 +130,9 @@ def build(source: str) -> Node:
                 k = len(stack) - 1
                 while stack[k].tag != name:
                     k -= 1
-                # the end of an inline element does not reach beyond a cell
-                if name in BLOCK or name in CLOSES or name in ("tr", "tbody", "table") or not any(x.tag in ("td", "th", "table") for x in stack[k + 1 :]):
+                # an end does not reach beyond a cell or a table, but for those of the table's parts and the page's
+                fence = () if name in ("table", "body", "html") else ("table",) if name in _WITHIN else ("td", "th", "caption", "table")
+                if not any(x.tag in fence for x in stack[k + 1 :]):
                     pop_to(k)
             elif name in ("br", "p"):
                 if stack[-1].tag == "head":
@@ -122,7 +144,9 @@ def build(source: str) -> Node:
                 pop_to(len(stack) - 1)
             if name in _CLOSE_P and open_count.get("p"):
                 close({"p"}, {"td", "th", "table", "button"})
-            if name in CLOSES:
+            if name in _WITHIN and open_count.get("table"):
+                enter_table(name)
+            elif name in CLOSES:
                 close(*CLOSES[name])
             node = Node(name, m[3] or "")
             stack[-1].children.append(node)
@@ -183,23 +207,35 @@ class _Out:
         self.lines.append(lead + line if line else "")
 
 
-def _cells(table: Node, depth: int) -> tuple[list[list[str]], list[str]]:
-    """Rows of rendered cells, and captions."""
-    rows, captions, todo = [], [], [iter(table.children)]
+def _cells(table: Node, depth: int) -> tuple[list[list[str]], list[str], list]:
+    """Rows of rendered cells, captions, and what is in the table but in neither; that is shown before the table."""
+    rows, captions, stray = [], [], []
+    line = lambda node: " ".join(x.strip() for x in _render(node, depth + 1).split("\n") if x.strip())
+    todo = [(None, iter(table.children))]
     while todo:
-        for child in todo[-1]:
-            if isinstance(child, str) or _hidden(child):
+        row, children = todo[-1]
+        for child in children:
+            if isinstance(child, str):
+                if _GAP.sub("", child):
+                    stray.append(child)
+            elif _hidden(child):
                 continue
-            if child.tag == "tr":
-                rows.append([" ".join(x.strip() for x in _render(c, depth + 1).split("\n") if x.strip()) for c in child.children if isinstance(c, Node) and c.tag in ("td", "th") and not _hidden(c)])
             elif child.tag == "caption":
                 captions.append(" ".join(_render(child, depth + 1).split()))
-            else:
-                todo.append(iter(child.children))
+            elif child.tag in ("td", "th") and row is not None:
+                row.append(line(child))
+            elif child.tag == "tr":
+                rows.append([])
+                todo.append((rows[-1], iter(child.children)))
+                break
+            elif child.tag in ("thead", "tbody", "tfoot", "colgroup"):
+                todo.append((None, iter(child.children)))
                 break
+            else:
+                stray.append(child)
         else:
             todo.pop()
-    return rows, captions
+    return rows, captions, stray
 
 
 #: Tables nested deeper than this are rendered as plain blocks.
@@ -224,6 +260,24 @@ def _render(root: Node, depth: int = 0) -> str:
             if node.tag in SPACED and not (node.tag in ("ul", "ol") and out.indent):
                 out.gap = True
             continue
+        if what == "grid":
+            out.end()
+            out.gap = True
+            rows, captions = extra
+            for c in captions:
+                if c:
+                    out.put(c)
+            widths: list[int] = []
+            for r in rows:
+                widths += [0] * (len(r) - len(widths))
+                for i, c in enumerate(r):
+                    widths[i] = max(widths[i], len(c))
+            for r in rows:
+                line = "  ".join(c.ljust(widths[i]) for i, c in enumerate(r)).rstrip()
+                if line:
+                    out.put(line)
+            out.gap = True
+            continue
         if isinstance(node, str):
             if pre:
                 first, *rest = node.split("\n")
@@ -253,22 +307,9 @@ def _render(root: Node, depth: int = 0) -> str:
                 out.text(a["value"])
             continue
         if tag == "table" and node is not root and depth < _DEEPEST_TABLE:
-            out.end()
-            out.gap = True
-            rows, captions = _cells(node, depth)
-            for c in captions:
-                if c:
-                    out.put(c)
-            widths: list[int] = []
-            for r in rows:
-                widths += [0] * (len(r) - len(widths))
-                for i, c in enumerate(r):
-                    widths[i] = max(widths[i], len(c))
-            for r in rows:
-                line = "  ".join(c.ljust(widths[i]) for i, c in enumerate(r)).rstrip()
-                if line:
-                    out.put(line)
-            out.gap = True
+            rows, captions, stray = _cells(node, depth)
+            todo.append(("grid", node, (rows, captions)))
+            todo.extend(("in", c, None) for c in reversed(stray))
             continue
         if tag in ("td", "th") and node is not root:
             out.text(" ")
