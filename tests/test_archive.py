@@ -188,6 +188,44 @@ def test_append_and_delta(spark, tmp_path):
         archive.append(make([("s", "3", b"again")]), root, OPT)
 
 
+def test_appended_checkpoints_are_differences(spark, tmp_path):
+    """A series appended one by one is coded against what the archive holds plainly, the latest of it."""
+    make = lambda rows: spark.createDataFrame([(a, p, bytearray(x)) for a, p, x in rows], "archive string, path string, content binary")
+    w, v = bf16(100_000), bf16(100_000)
+
+    def changed(raw, k):
+        raw = bytearray(raw)
+        for i in range(k):
+            raw[i * 40] ^= 1
+        return bytes(raw)
+
+    def step(k, x):
+        return safetensors({"x": ("BF16", [100_000], x), "y": ("BF16", [100_000], changed(v, k)), "z": ("BF16", [4000], bf16(4000))})
+
+    # the third has another x, plain, which is the latest base of the fourth's
+    u = bf16(100_000)
+    files = [("s", "0", step(0, w)), ("s", "1", step(300, changed(w, 300))), ("s", "2", step(900, u)), ("s", "3", step(1200, changed(u, 400)))]
+    root, fresh = str(tmp_path / "lake"), str(tmp_path / "fresh")
+    archive.compress(make(files[:1]), root, OPT)
+    for f in files[1:-1]:
+        archive.append(make([f]), root, OPT)
+    # of two appended at once both are differences from the stored, not from each other; another archive has no base
+    more = [("s", "4", step(1300, changed(u, 500))), ("t", "1", files[0][2])]
+    archive.append(make([files[-1], *more]), root, OPT)
+    every = files + more
+    assert contents(archive.restore(root, spark, options=OPT)) == {(a, p): x for a, p, x in every}
+    assert archive.faults(root, spark, OPT).count() == 0
+    chunks = spark.read.parquet(f"{root}/chunks")
+    deltas = {(r.archive, r.path): r.n for r in chunks.where(chunks.codec == c.C_DELTA).groupBy("archive", "path").agg({"rlen": "sum"}).withColumnRenamed("sum(rlen)", "n").collect()}
+    assert deltas == {("s", "1"): 400_000, ("s", "2"): 200_000, ("s", "3"): 400_000, ("s", "4"): 400_000}
+    sizes = {r.path: r.dst for r in spark.read.parquet(f"{root}/members").where("archive = 's'").collect()}
+    first = min(r.src for r in chunks.where((chunks.codec == c.C_DELTA) & (chunks.path == "3")).collect())
+    assert first < sizes["1"] and max(r.src for r in chunks.where((chunks.codec == c.C_DELTA) & (chunks.path == "3")).collect()) >= sizes["2"]
+    stored = lambda where: spark.read.parquet(f"{where}/chunks").where("archive = 's'").agg({"clen": "sum"}).first()[0]
+    archive.compress(make(every[:5]), fresh, OPT)
+    print("stored", stored(root), "in one shot", stored(fresh))
+
+
 def test_damage_is_reported(spark, model, tmp_path):
     root, _ = model
     for name in ("members", "chunks"):

@@ -34,10 +34,11 @@ def duplicates(ranges: DataFrame, order: list[str], data: str = "data", least: i
     return found.select(*keys, F.col("_size").alias("size"), *[F.col(f"_first.{c}").alias(f"src_{c}") for c in order])
 
 
-def delta_candidates(tensors: DataFrame, match: list[str], order: list[str], taken: DataFrame | None = None, sources: DataFrame | None = None, latest: bool = False) -> DataFrame:
+def delta_candidates(tensors: DataFrame, match: list[str], order: list[str], taken: DataFrame | None = None, sources: DataFrame | None = None, latest: bool = False, bases: DataFrame | None = None) -> DataFrame:
     """Tensors with the base (base_*) of equal ``match`` columns that they may be coded against.
 
-    The base is the earliest, or for appending the latest, of its group.
+    The base is the earliest, or for appending the latest, of its group; for
+    appending it is one of ``bases``, not of the tensors themselves.
     Ranges in ``taken`` are copies already; those in ``sources`` are sources of
     copies and must keep their own bytes.
     """
@@ -46,7 +47,7 @@ def delta_candidates(tensors: DataFrame, match: list[str], order: list[str], tak
         if other is not None:
             rows = rows.join(other, order, "left_anti")
     pick = F.max if latest else F.min
-    base = tensors if taken is None else tensors.join(taken, order, "left_anti")
+    base = bases if bases is not None else tensors if taken is None else tensors.join(taken, order, "left_anti")
     base = base.groupBy(*match).agg(pick(F.struct(*order)).alias("_base"))
     found = rows.join(base, match).where(F.struct(*order) != F.col("_base"))
     return found.select(*tensors.columns, *[F.col(f"_base.{c}").alias(f"base_{c}") for c in order])

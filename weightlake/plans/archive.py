@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codec as c
@@ -60,32 +60,83 @@ def find_refs(tensors: DataFrame, files: DataFrame, members: DataFrame, least: i
     return found.join(dst.withColumnsRenamed({"path": "src_path"}), ["archive", "src_path"]).select(*KEYS, "start", "end", (F.col("dst") + F.col("src_start")).alias("src"), "src_path", "src_start")
 
 
-def find_deltas(tensors: DataFrame, files: DataFrame, members: DataFrame, refs: DataFrame, options: Options) -> DataFrame:
-    """(archive, path, start, end, src): tensors that code clearly smaller against an equally named, typed and sized earlier one, by a sample coded both ways."""
-    t = tensors.where(F.col("end") - F.col("start") >= options.least).select(*KEYS, "name", "dtype", (F.col("end") - F.col("start")).alias("size"), "start", "end", "esize", "kind", "btype")
-    place = ["archive", "path", "start"]
-    sources = refs.select("archive", F.col("src_path").alias("path"), F.col("src_start").alias("start")).distinct()
-    cand = dedup.delta_candidates(t, ["archive", "name", "dtype", "size"], place, taken=refs.select(*place), sources=sources)
-    cand = cand.where("path != base_path").drop("base_archive")
+PLACE = ["archive", "path", "start"]
+
+
+def _delta_rows(tensors: DataFrame, options: Options) -> DataFrame:
+    return tensors.where(F.col("end") - F.col("start") >= options.least).select(*KEYS, "name", "dtype", (F.col("end") - F.col("start")).alias("size"), "start", "end", "esize", "kind", "btype")
+
+
+def _sample_of(options: Options) -> tuple[Column, Column]:
+    """Where the sample of a tensor (size, esize) begins, and its length."""
     half = F.greatest(F.col("size") - options.delta_sample, F.lit(0)) / 2
     first = (F.floor(half / F.col("esize")) * F.col("esize")).cast("int")
-    length = F.least(F.col("size"), F.lit(options.delta_sample) - F.lit(options.delta_sample) % F.col("esize")).cast("int")
+    return first, F.least(F.col("size"), F.lit(options.delta_sample) - F.lit(options.delta_sample) % F.col("esize")).cast("int")
+
+
+def _worthwhile(both: DataFrame, options: Options) -> DataFrame:
+    """The rows whose sample ``own`` codes clearly smaller as a difference from ``base``."""
+    keep = [x for x in both.columns if x not in ("own", "base")]
+    plain = codecs.encode_chunks(both.withColumn("ikind", F.lit(BYTES)).withColumnRenamed("own", "data"), options.settings, base="base").select(*keep, F.col("clen").alias("plain_size"))
+    diff = codecs.encode_chunks(both.withColumn("ikind", F.col("kind")).withColumn("kind", F.lit(DELTA)).withColumnRenamed("own", "data"), options.settings, base="base").select(*PLACE, F.col("clen").alias("delta_size"))
+    return plain.join(diff, PLACE).where(F.col("delta_size") < F.col("plain_size") * (1 - options.delta_gain))
+
+
+def find_deltas(tensors: DataFrame, files: DataFrame, members: DataFrame, refs: DataFrame, options: Options, taken: DataFrame | None = None) -> DataFrame:
+    """(archive, path, start, end, src): tensors that code clearly smaller against an equally named, typed and sized earlier one, by a sample coded both ways; those in ``taken`` are differences already."""
+    sources = refs.select("archive", F.col("src_path").alias("path"), F.col("src_start").alias("start")).distinct()
+    coded = refs.select(*PLACE) if taken is None else refs.select(*PLACE).unionByName(taken.select(*PLACE))
+    cand = dedup.delta_candidates(_delta_rows(tensors, options), ["archive", "name", "dtype", "size"], PLACE, taken=coded, sources=sources)
+    cand = cand.where("path != base_path").drop("base_archive")
+    first, length = _sample_of(options)
     part = lambda data: F.substring(data, first + 1, length)
     own = _tensor_bytes(cand, files).withColumn("own", part(F.col("data"))).drop("data")
     base = files.select("archive", F.col("path").alias("base_path"), F.col("content").alias("base_content"))
     both = own.join(base, ["archive", "base_path"])
     both = both.withColumn("base", part(F.substring("base_content", (F.col("base_start") + 1).cast("int"), F.col("size").cast("int")))).drop("base_content")
-    keep = [x for x in both.columns if x not in ("own", "base")]
-    plain = codecs.encode_chunks(both.withColumn("ikind", F.lit(BYTES)).withColumnRenamed("own", "data"), options.settings, base="base").select(*keep, F.col("clen").alias("plain_size"))
-    diff = codecs.encode_chunks(both.withColumn("ikind", F.col("kind")).withColumn("kind", F.lit(DELTA)).withColumnRenamed("own", "data"), options.settings, base="base").select(*place, F.col("clen").alias("delta_size"))
-    chosen = plain.join(diff, place).where(F.col("delta_size") < F.col("plain_size") * (1 - options.delta_gain))
     dst = members.select("archive", F.col("path").alias("base_path"), "dst")
-    return chosen.join(dst, ["archive", "base_path"]).select(*KEYS, "start", "end", (F.col("dst") + F.col("base_start")).alias("src"))
+    return _worthwhile(both, options).join(dst, ["archive", "base_path"]).select(*KEYS, "start", "end", (F.col("dst") + F.col("base_start")).alias("src"))
+
 
+def _stored(root: str, name: str, spark: SparkSession) -> DataFrame:
+    return spark.read.parquet(f"{root}/{name}").withColumn("archive", F.col("archive").cast("string"))
 
-def plan(files: DataFrame, options: Options = Options()) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """members, tensors and planned chunks of files (archive, path, content)."""
-    members = kept(plan_members(files))
+
+def _stored_bytes(root: str, requests: DataFrame, request: list[str], options: Options) -> DataFrame:
+    """(request, bytes) of ranges (archive, pos, len) of the archives below a root, from chunks with bytes of their own; only chunks that are asked for are decoded."""
+    chunks = _stored(root, "chunks", requests.sparkSession).where(~F.col("codec").isin(c.C_REF, c.C_DELTA))
+    asked = reads.overlaps(requests.select("archive", "pos", "len"), chunks.select("archive", "chunk_id", "dst", "rlen"), ["archive"], options.chunk_size)
+    own = codecs.decode_chunks(chunks.join(asked.select("archive", "chunk_id").distinct(), ["archive", "chunk_id"], "left_semi"), options.settings.buckets)
+    return reads.read_ranges(requests, own.select("archive", "dst", "rlen", "data"), ["archive"], request, options.chunk_size)
+
+
+def find_append_deltas(tensors: DataFrame, files: DataFrame, members: DataFrame, refs: DataFrame, root: str, options: Options) -> DataFrame:
+    """(archive, path, start, end, src): tensors that code clearly smaller against the latest equally named, typed and sized one that the archive holds plainly, by a sample coded both ways."""
+    spark = files.sparkSession
+    place = lambda t, m: t.join(m.select(*KEYS, "dst"), KEYS).withColumn("pos", F.col("dst") + F.col("start")).drop("dst")
+    stored = place(_delta_rows(_stored(root, "tensors", spark), options), _stored(root, "members", spark))
+    coded = _stored(root, "chunks", spark).where(F.col("codec").isin(c.C_REF, c.C_DELTA)).select("archive", "dst", "rlen")
+    asked = stored.select("archive", "pos", F.col("size").alias("len")).distinct()
+    stored = stored.join(reads.overlaps(asked, coded, ["archive"], options.chunk_size).select("archive", "pos", F.col("len").alias("size")).distinct(), ["archive", "pos", "size"], "left_anti")
+    # copies have no bytes of their own, and sources of copies must keep theirs
+    rows = place(_delta_rows(tensors, options), members).join(refs.select(*PLACE), PLACE, "left_anti")
+    rows = rows.join(refs.select("archive", F.col("src_path").alias("path"), F.col("src_start").alias("start")), PLACE, "left_anti")
+    cand = kept(dedup.delta_candidates(rows, ["archive", "name", "dtype", "size"], ["pos"], latest=True, bases=stored))
+    first, length = _sample_of(options)
+    own = _tensor_bytes(cand, files).withColumn("own", F.substring("data", first + 1, length)).drop("data")
+    asked = cand.select(*PLACE, (F.col("base_pos") + first).alias("pos"), length.alias("len"))
+    base = _stored_bytes(root, asked, PLACE, options).withColumnRenamed("bytes", "base")
+    both = own.join(base, PLACE).where(F.octet_length("base") == F.octet_length("own"))
+    return _worthwhile(both, options).select(*KEYS, "start", "end", F.col("base_pos").alias("src"))
+
+
+def plan(files: DataFrame, options: Options = Options(), root: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """members, tensors and planned chunks of files (archive, path, content); with a root, behind what the archives there hold, and against it."""
+    members = plan_members(files)
+    if root is not None:
+        total = _stored(root, "members", files.sparkSession).groupBy("archive").agg(F.max(F.col("dst") + F.col("size")).alias("total"))
+        members = members.join(total, "archive", "left").withColumn("dst", F.col("dst") + F.coalesce("total", F.lit(0))).drop("total")
+    members = kept(members)
     index = kept(tensor_index(files, KEYS))
     tensors = index.select(*KEYS, F.explode("tensors").alias("t")).select(*KEYS, "t.*")
     refs = deltas = None
@@ -93,27 +144,33 @@ def plan(files: DataFrame, options: Options = Options()) -> tuple[DataFrame, Dat
         refs = kept(find_refs(tensors, files, members, options.least))
     if options.delta:
         none = files.sparkSession.createDataFrame([], "archive string, path string, start bigint, src_path string, src_start bigint")
-        deltas = kept(find_deltas(tensors, files, members, none if refs is None else refs, options))
+        copies = none if refs is None else refs
+        stored = None if root is None else kept(find_append_deltas(tensors, files, members, copies, root, options))
+        deltas = find_deltas(tensors, files, members, copies, options, stored)
+        deltas = kept(deltas if stored is None else deltas.unionByName(stored))
     chunks = planning.plan_chunks(regions_of(index, KEYS), members, KEYS, options.chunk_size, refs, deltas)
     chunks = chunks.join(members.select(*KEYS, F.col("dst").alias("m_dst")), KEYS)
     return members.join(index.select(*KEYS, F.col("container").alias("kind")), KEYS), tensors, chunks.withColumn("dst", F.col("m_dst") + F.col("start")).drop("m_dst")
 
 
-def _with_bases(chunks: DataFrame, members: DataFrame, files: DataFrame) -> DataFrame:
-    """Adds ``base``: the source bytes of differences. A source lies in one member."""
+def _with_bases(chunks: DataFrame, members: DataFrame, files: DataFrame, options: Options, root: str | None = None) -> DataFrame:
+    """Adds ``base``: the source bytes of differences. A source lies in one member, of the files or of the archives below the root."""
     m = members.select("archive", F.col("path").alias("b_path"), F.col("dst").alias("b_dst"), "size")
     want = chunks.where(F.col("kind") == DELTA).select("archive", "dst", "src", (F.col("end") - F.col("start")).alias("n"))
     at = want.join(m, "archive").where((F.col("src") >= F.col("b_dst")) & (F.col("src") < F.col("b_dst") + F.col("size")))
     got = at.join(files.select("archive", F.col("path").alias("b_path"), "content"), ["archive", "b_path"])
     got = got.select("archive", "dst", F.substring("content", (F.col("src") - F.col("b_dst") + 1).cast("int"), F.col("n").cast("int")).alias("base"))
+    if root is not None:
+        asked = want.select("archive", F.col("dst").alias("for_dst"), F.col("src").alias("pos"), F.col("n").alias("len"))
+        got = got.unionByName(_stored_bytes(root, asked, ["archive", "for_dst"], options).select("archive", F.col("for_dst").alias("dst"), F.col("bytes").alias("base")))
     return chunks.join(got, ["archive", "dst"], "left")
 
 
-def encode(files: DataFrame, members: DataFrame, planned: DataFrame, options: Options = Options()) -> DataFrame:
+def encode(files: DataFrame, members: DataFrame, planned: DataFrame, options: Options = Options(), root: str | None = None) -> DataFrame:
     """The chunk table: planned chunks with their encoded bytes."""
     rows = planned.join(files.select(*KEYS, "content"), KEYS)
     rows = rows.withColumn("data", F.when(F.col("kind") == REF, F.lit(None)).otherwise(F.substring("content", (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int")))).drop("content")
-    done = codecs.encode_chunks(_with_bases(rows, members, files), options.settings, base="base")
+    done = codecs.encode_chunks(_with_bases(rows, members, files, options, root), options.settings, base="base")
     # a copy's length is its range's, and its bytes are checked at their source
     copy = F.col("codec") == c.C_REF
     return done.withColumn("rlen", F.when(copy, F.col("end") - F.col("start")).otherwise(F.col("rlen"))).withColumn("crc", F.when(copy, F.lit(None)).otherwise(F.col("crc"))).withColumn("chunk_id", F.col("dst"))
@@ -127,16 +184,13 @@ def compress(files: DataFrame, root: str, options: Options = Options(), mode: st
 
 
 def append(files: DataFrame, root: str, options: Options = Options()) -> None:
-    """Adds files to archives below a root; a path that is there already fails before anything is written."""
+    """Adds files to archives below a root, coded against what these hold where that is clearly smaller; a path that is there already fails before anything is written."""
     spark = files.sparkSession
     old = spark.read.parquet(f"{root}/members")
     if not catalog.clashing(old, files.select(*KEYS), KEYS).isEmpty():
         raise ValueError("members are there already")
-    members, tensors, planned = plan(files, options)
-    total = old.groupBy("archive").agg(F.max(F.col("dst") + F.col("size")).alias("total"))
-    chunks = encode(files, members, planned, options)
-    by = lambda df, cols: df.join(total, "archive", "left").withColumn("total", F.coalesce("total", F.lit(0))).withColumns({x: F.when(F.col(x) >= 0, F.col(x) + F.col("total")).otherwise(F.col(x)) for x in cols}).drop("total")
-    new = [("members", by(members, ["dst"])), ("tensors", tensors), ("chunks", by(chunks, ["dst", "src", "chunk_id"]))]
+    members, tensors, planned = plan(files, options, root)
+    new = [("members", members), ("tensors", tensors), ("chunks", encode(files, members, planned, options, root))]
     for name, df in [(n, kept(d)) for n, d in new]:
         df.write.mode("append").partitionBy("archive").parquet(f"{root}/{name}")
 
