@@ -51,7 +51,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark passage."""
-    return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+    return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"), short=True)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
