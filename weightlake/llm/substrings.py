@@ -6,9 +6,10 @@ their 8-word parts): a run of windows with one minimizer travels as one row,
 and only if its minimizer occurs twice. Where runs with one minimizer meet,
 edges are counted and every run is cut to its repeated edges. Joins then
 compact these stretches into nonbranching paths: a stretch continues another if
-it is the only one to follow it and follows only it. Every occurrence of a path
-is a place in a document, whose words are compared by digest with those of the
-path's source; words covered by verified occurrences are removed.
+it is the only one to follow it and follows only it. Words that a repeated
+stretch covers are removed. The paths name the stretches in ``repeated_spans``
+and do not decide what is removed; windows are equal by two 64-bit hashes, and
+their words are not compared with those of a source.
 
 Defined results: a null or empty text has no words; rows that repeat id and
 text are documents that repeat each other, so all their windows repeat; rows
