@@ -95,5 +95,8 @@ def test_sketches_prune_no_link():
             continue
         both = len(np.intersect1d(x, y))
         if 100 * both >= 75 * (len(x) + len(y) - both):
+            known, table = jaccard._class_table([jaccard._class_counts(s) for s in (x, y)])
+            assert not known.all() or jaccard._counts_may_link(table[0], table[1], len(x), len(y))
+            assert abs(int(jaccard._levels(np.array([len(x)]))[0] - jaccard._levels(np.array([len(y)]))[0])) <= 1
             for k in (2, 3):
                 assert jaccard.sketches_may_link(np.frombuffer(jaccard._sketch(x, k), "<u2"), len(x), np.frombuffer(jaccard._sketch(y, k), "<u2"), len(y))

@@ -12,8 +12,9 @@ meet on a shingle are first paired with two members only: the one that meets
 the most others, and one by hash. Groups whose members are then all connected
 need nothing more. In the others every two members of different components are
 compared, in blocks, by an upper bound of their overlap from counts of hash
-classes, and those that may link are verified too. So no link between
-components is lost.
+classes, then by the hash orders, then by their whole sets. Each of these steps
+sends on the members that are left, not their pairs, and the last gives a forest
+of links. So no link between components is lost.
 
 Defined results: a document without words has an empty set, links with nothing
 and is its own component; with one to four words its set is the one sequence;
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
@@ -42,9 +43,14 @@ PERCENT = 75
 FREQUENT = 50_000
 #: Members of a group that are compared in one block.
 BLOCK = 2048
+#: Set members that are compared in one block.
+BLOCK_MEMBERS = 1 << 20
 #: Documents up to so many are found by a broadcast of their keys; beyond, by a shuffle.
 BROADCAST_KEYS = 50_000
-_CLASSES = 256
+#: Sizes of sets at which a level begins, each at least 100 / PERCENT of the one before; the last is beyond any set.
+_LEVELS = [1]
+while _LEVELS[-1] < 1 << 40:
+    _LEVELS.append(-(-_LEVELS[-1] * 100 // PERCENT))
 
 
 def shingle_sets(col: pa.Array, width: int = WIDTH) -> list[np.ndarray]:
@@ -77,9 +83,30 @@ def _signature(s: np.ndarray) -> int:
 
 
 def _class_counts(s: np.ndarray) -> bytes:
-    """How many members fall in each hash class; empty if a count exceeds a byte."""
-    c = np.bincount((mix(s + np.uint64(7)) >> np.uint64(56)).astype(np.int64), minlength=_CLASSES)
-    return c.astype(np.uint8).tobytes() if len(s) and c.max() < 256 else b""
+    """How many members fall in each hash class, four bits each, with two to four members in a class on average; empty if a count exceeds 15."""
+    bits = max(6, int(np.ceil(np.log2(max(len(s), 1) / 4))))
+    c = np.bincount((mix(s + np.uint64(7)) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return (c[::2] * 16 + c[1::2]).astype(np.uint8).tobytes() if len(s) and c.max() < 16 else b""
+
+
+def _class_table(classes: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Which sets have class counts, and the counts, by as many classes as the set with the fewest has; classes that follow each other are joined."""
+    sizes = np.array([len(c) for c in classes])
+    known = sizes > 0
+    width = int(sizes[known].min()) if known.any() else 1
+    table = np.zeros((len(classes), 2 * width), np.uint8)
+    for size in np.unique(sizes[known]).tolist():
+        rows = np.flatnonzero(sizes == size)
+        packed = np.frombuffer(b"".join(classes[k] for k in rows.tolist()), np.uint8)
+        full = np.stack([packed >> 4, packed & 15], 1).reshape(len(rows), 2 * width, -1)
+        table[rows] = np.minimum(full.sum(2, dtype=np.int64), 255)
+        known[rows[(full.sum(2, dtype=np.int64) > 255).any(1)]] = False
+    return known, table
+
+
+def _counts_may_link(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb) -> np.ndarray:
+    """False only where no two sets of these class counts and sizes link: they share at most the lesser count of each class."""
+    return (100 + PERCENT) * np.minimum(a, b).sum(-1, dtype=np.int64) >= PERCENT * (na + nb)
 
 
 def _prefix_size(n: int) -> int:
@@ -105,6 +132,12 @@ def sketches_may_link(x: np.ndarray, nx: int, y: np.ndarray, ny: int) -> bool:
     return int((x[np.minimum(at, len(x) - 1)] == y).sum()) > spare
 
 
+def sets_link(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted sets link."""
+    both = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
+    return 100 * both >= PERCENT * (len(x) + len(y) - both)
+
+
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).cast("string").alias("t"))
 
@@ -259,6 +292,15 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) ->
 def _verify(pairs: DataFrame, sketches: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The pairs (a, b) of sets that pass the filters of all orders and link; whole sets are fetched only for pairs that pass."""
 
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            c = {k: b.column(k).to_pylist() for k in b.schema.names}
+            good = []
+            for x, y, nx, ny in zip(c["aclasses"], c["bclasses"], c["an"], c["bn"]):
+                known, table = _class_table([x, y])
+                good.append(not known.all() or bool(_counts_may_link(table[0], table[1], nx, ny)))
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(good, pa.bool_())), b.column(1).filter(pa.array(good, pa.bool_()))], names=["a", "b"])
+
     def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             c = {k: b.column(k).to_pylist() for k in b.schema.names}
@@ -267,11 +309,7 @@ def _verify(pairs: DataFrame, sketches: DataFrame, reps: DataFrame, docs: DataFr
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            good = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
-                good.append(100 * both >= PERCENT * (len(x) + len(y) - both))
+            good = [sets_link(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(good, pa.bool_())), b.column(1).filter(pa.array(good, pa.bool_()))], names=["a", "b"])
 
     def both(pairs: DataFrame, data: DataFrame, cols: list[str]) -> DataFrame:
@@ -279,72 +317,156 @@ def _verify(pairs: DataFrame, sketches: DataFrame, reps: DataFrame, docs: DataFr
         return pairs.join(side("a"), "a").join(side("b"), "b")
 
     nodes = lambda pairs: pairs.select(F.col("a").alias("ref")).unionByName(pairs.select(F.col("b").alias("ref"))).distinct()
-    pairs = cut(pairs)
+    pairs = cut(both(pairs, sketches, ["n", "classes"]).select("a", "b", "an", "aclasses", "bn", "bclasses").mapInArrow(counted, "a bigint, b bigint"))
     order = ["a", "b", "an", "asecond", "athird", "bn", "bsecond", "bthird"]
     passed = cut(both(pairs, sketches.join(nodes(pairs), "ref", "left_semi"), ["n", "second", "third"]).select(order).mapInArrow(passing, "a bigint, b bigint"))
     sets = cut(_sets_of(docs, cut(nodes(passed).join(reps, "ref")), id_col, text_col))
     return both(passed, sets, ["members"]).select("a", "b", "amembers", "bmembers").mapInArrow(linked, "a bigint, b bigint").distinct()
 
 
-def _across(met: DataFrame, comp: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) that meet on a shingle, are of different components and may link by their sizes and class counts."""
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, pa.Table]]:
+    """The rows of each run of equal values in the first ``keys`` columns."""
+    key, held = None, []
+    for b in batches:
+        cols = [b.column(k).to_numpy(zero_copy_only=False) for k in range(keys)]
+        new = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1 if b.num_rows else []
+        for s, e in zip([0, *new], [*new, b.num_rows]):
+            if s == e:
+                continue
+            k = tuple(c[s] for c in cols)
+            if k != key:
+                if held:
+                    yield key, pa.Table.from_batches(held)
+                key, held = k, []
+            held.append(b.slice(s, e - s))
+    if held:
+        yield key, pa.Table.from_batches(held)
+
+
+def _candidates(cell: int, split: bool, own: np.ndarray, comp: np.ndarray, n: np.ndarray, classes: list[bytes] | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """Members x of a cell's block, each with those of other components that it may link with by sizes and, if given, class counts; a pair comes once."""
+    known, table = _class_table(classes) if classes else (np.zeros(len(n), bool), None)
+    names, times = np.unique(comp, return_counts=True)
+    common, place, level = names[times.argmax()], np.arange(len(n)), _levels(n)
+    for x in np.flatnonzero(comp != common).tolist():
+        y = (comp != comp[x]) & ((comp == common) | (place > x)) & (np.minimum(n, n[x]) * 100 >= np.maximum(n, n[x]) * PERCENT)
+        y &= np.maximum(level, level[x]) == cell
+        if split:
+            y &= own != own[x]
+        y = np.flatnonzero(y)
+        if len(y) and known[x]:
+            y = y[~known[y] | _counts_may_link(table[y], table[x], n[y], n[x])]
+        if len(y):
+            yield x, y
+
+
+def _levels(n: np.ndarray) -> np.ndarray:
+    """Sizes in steps by which two linked sets differ at most: they are of one level or of two that follow each other."""
+    return np.searchsorted(_LEVELS, n, side="right")
+
+
+def _level(n: str):
+    """The same as a column."""
+    return F.size(F.filter(F.array(*[F.lit(x) for x in _LEVELS]), lambda x: x <= F.col(n)))
+
+
+def _in_blocks(rows: DataFrame, group: list[str], blocks: DataFrame) -> DataFrame:
+    """Each row in every block (i, j) of its group that has its part (own) of the group; ``blocks`` says in how many parts a group is cut."""
+    rows = rows.join(blocks, group).withColumn("own", F.pmod(F.xxhash64(F.lit(5), "ref"), "blocks").cast("int"))
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.withColumns({"i": F.least("own", "with"), "j": F.greatest("own", "with")}).drop("with", "blocks")
+
+
+def _n_blocks() -> Column:
+    return F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_MEMBERS)).cast("int").alias("blocks")
+
+
+_FOUND = "lead bigint, cell int, ref bigint, component bigint, n bigint"
+_KEYS = ["lead", "cell", "i", "j"]
+
+
+def _flagged(key: tuple, refs: dict[int, tuple[int, int]]) -> pa.RecordBatch:
+    k, (lead, cell, *_) = len(refs), key
+    comp, n = zip(*refs.values()) if refs else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array([lead] * k, pa.int64()), pa.array([cell] * k, pa.int32()), pa.array(list(refs), pa.int64()), pa.array(comp, pa.int64()), pa.array(n, pa.int64())], names=["lead", "cell", "ref", "component", "n"])
+
+
+def _may_link(met: DataFrame, comp: DataFrame, classes: DataFrame) -> DataFrame:
+    """(lead, cell, ref, component, n): of the sets that meet on a shingle, those that may link with one of another component by sizes and class counts.
+
+    A cell holds two levels of sizes of a shingle's sets. Cells with one lead,
+    the set of the least hash in each, are one group here, as pairs that share
+    much meet in many cells; members come out, never pairs.
+    """
     rows = met.join(comp.withColumnRenamed("node", "ref"), "ref", "left").withColumn("component", F.coalesce("component", "ref"))
-    mixed = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo != hi")
-    mixed = mixed.select("token", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    rows = rows.join(mixed, "token").join(classes, "ref")
-    own = F.pmod(F.xxhash64(F.lit(5), "ref"), "blocks").cast("int")
-    rows = rows.select("token", "ref", "component", "n", "classes", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
-    rows = rows.select("token", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "ref", "component", "n", "classes")
-
-    def group(own: np.ndarray, ref: np.ndarray, comp: np.ndarray, n: np.ndarray, classes: list[bytes], i: int, j: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        known = np.array([len(c) > 0 for c in classes])
-        table = np.zeros((len(classes), _CLASSES), np.uint8)
-        if known.any():
-            table[known] = np.frombuffer(b"".join(c for c in classes if c), np.uint8).reshape(-1, _CLASSES)
-        names, times = np.unique(comp, return_counts=True)
-        common = names[times.argmax()]
-        place = np.arange(len(ref))
-        for x in np.flatnonzero(comp != common):
-            y = (comp != comp[x]) & ((comp == common) | (place > x)) & (np.minimum(n, n[x]) * 100 >= np.maximum(n, n[x]) * PERCENT)
-            if i != j:
-                y &= own != own[x]
-            y = np.flatnonzero(y)
-            if len(y) and known[x]:
-                bound = np.minimum(table[y], table[x]).sum(1, dtype=np.int64)
-                y = y[~known[y] | ((100 + PERCENT) * bound >= PERCENT * (n[y] + n[x]))]
-            if len(y):
-                yield np.minimum(ref[y], ref[x]), np.maximum(ref[y], ref[x])
+    mixed = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("token")
+    rows = rows.join(mixed, "token").withColumn("level", _level("n"))
+    rows = cut(rows.select("token", "ref", "n", "component", "level", F.explode(F.array("level", F.col("level") + 1)).alias("cell")))
+    lead = F.min(F.struct(F.xxhash64(F.lit(11), "ref"), "ref"))["ref"].alias("lead")
+    cells = rows.groupBy("token", "cell").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("level").alias("top"), lead, _n_blocks())
+    cells = cells.where((F.col("lo") != F.col("hi")) & (F.col("top") == F.col("cell"))).select("token", "cell", "lead", "blocks")
+    rows = _in_blocks(rows.drop("level"), ["token", "cell"], cells).join(classes, "ref").select(*_KEYS, "token", "own", "ref", "component", "n", "classes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: set[tuple[int, int]] = set()
-        key, held = None, []
+        last, found = None, {}
+        for (*key, _), t in _groups(batches, 5):
+            if key != last:
+                if found:
+                    yield _flagged(last, found)
+                last, found = key, {}
+            own, ref, comp, n = (t[k].to_numpy() for k in ("own", "ref", "component", "n"))
+            if all(r in found for r in ref.tolist()):
+                continue
+            good = np.zeros(len(n), bool)
+            for x, y in _candidates(key[1], key[2] != key[3], own, comp, n, t["classes"].to_pylist()):
+                good[x] = True
+                good[y] = True
+            good = np.flatnonzero(good)
+            found.update(zip(ref[good].tolist(), zip(comp[good].tolist(), n[good].tolist())))
+        if found:
+            yield _flagged(last, found)
 
-        def close() -> None:
-            if held:
-                cols = [np.concatenate([h[k] for h in held]) for k in range(4)]
-                for a, b in group(*cols, sum((h[4] for h in held), []), key[1], key[2]):
-                    found.update(zip(a.tolist(), b.tolist()))
+    return rows.repartition(parts(met.sparkSession), *_KEYS).sortWithinPartitions(*_KEYS, "token").mapInArrow(run, _FOUND).distinct()
 
-        for b in batches:
-            t, i, j, own, ref, comp, n = (b.column(k).to_numpy(zero_copy_only=False) for k in range(7))
-            classes = b.column(7).to_pylist()
-            new = np.flatnonzero((t[1:] != t[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-            for s, e in zip([0, *new.tolist()], [*new.tolist(), len(t)]):
-                if s == e:
-                    continue
-                k = (t[s], i[s], j[s])
-                if k != key:
-                    close()
-                    key, held = k, []
-                held.append((own[s:e], ref[s:e], comp[s:e], n[s:e], classes[s:e]))
-            if len(found) > 200_000:
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
-                found = set()
-        close()
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
-
-    spark = met.sparkSession
-    return rows.repartition(parts(spark), "token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(run, "a bigint, b bigint").distinct()
+
+def _may_link_sketched(members: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Those of ``members`` that may link with another of their group by their sketches of both hash orders."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, t in _groups(batches, 4):
+            own, ref, comp, n = (t[k].to_numpy() for k in ("own", "ref", "component", "n"))
+            second, third = ([np.frombuffer(x, "<u2") for x in t[k].to_pylist()] for k in ("second", "third"))
+            found: dict[int, tuple[int, int]] = {}
+            for x, ys in _candidates(key[1], key[2] != key[3], own, comp, n):
+                for y in ys.tolist():
+                    if not (ref[x] in found and ref[y] in found) and all(sketches_may_link(s[x], n[x], s[y], n[y]) for s in (second, third)):
+                        found |= {ref[k]: (comp[k], n[k]) for k in (x, y)}
+            if found:
+                yield _flagged(key, found)
+
+    rows = _in_blocks(members, _KEYS[:2], members.groupBy("lead", "cell").agg(_n_blocks())).join(sketches, "ref").select(*_KEYS, "own", "ref", "component", "n", "second", "third")
+    return rows.repartition(parts(members.sparkSession), *_KEYS).sortWithinPartitions(*_KEYS).mapInArrow(run, _FOUND).distinct()
+
+
+def _links_across(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) that join the components of ``members`` as far as their whole sets do: within a block, a forest of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = [], []
+        for key, t in _groups(batches, 4):
+            own, ref, comp, n = (t[k].to_numpy() for k in ("own", "ref", "component", "n"))
+            members = [np.frombuffer(x, np.uint64) for x in t["members"].to_pylist()]
+            label = comp.copy()
+            for x, ys in _candidates(key[1], key[2] != key[3], own, comp, n, [_class_counts(s) for s in members]):
+                for y in ys.tolist():
+                    if label[x] != label[y] and sets_link(members[x], members[y]):
+                        label[label == label[y]] = label[x]
+                        a.append(min(ref[x], ref[y]))
+                        b.append(max(ref[x], ref[y]))
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    rows = _in_blocks(members, _KEYS[:2], members.groupBy("lead", "cell").agg(_n_blocks())).join(sets, "ref").select(*_KEYS, "own", "ref", "component", "n", "members")
+    return rows.repartition(parts(members.sparkSession), *_KEYS).sortWithinPartitions(*_KEYS).mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -372,7 +494,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sketches = cut(own.select("ref", "n", "classes", "second", "third").join(met.select("ref").distinct(), "ref", "left_semi").dropDuplicates(["ref"]))
     links = cut(_verify(star, sketches, reps, docs, id_col, text_col))
     comp = components(links)
-    more = cut(_verify(_across(met.select("token", "ref", "n"), comp, sketches.select("ref", "classes")), sketches, reps, docs, id_col, text_col))
+    members = cut(_may_link(met.select("token", "ref", "n"), comp, sketches.select("ref", "classes")))
+    members = cut(_may_link_sketched(members, sketches.select("ref", "second", "third")))
+    sets = cut(_sets_of(docs, cut(members.select("ref").distinct().join(reps, "ref")), id_col, text_col))
+    more = cut(_links_across(members, sets))
     if not more.isEmpty():
         comp = components(links.unionByName(more))
     return own.select("id", "th", "n", "ref").join(comp.withColumnRenamed("node", "ref"), "ref", "left").select(F.col("id").alias(id_col), "th", F.col("n").alias("n_shingles"), "ref", F.coalesce("component", "ref").alias("component"))
