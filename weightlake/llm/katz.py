@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .session import cut, parts
-from .words import find_words, hash_values, mix, pieces
+from .words import find_words, hash_values, mix, pieces, release
 
 #: Counts above this are not discounted.
 CUTOFF = 5
@@ -111,6 +111,12 @@ def _unpack(b: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, n).T).view(f"<u{width}").reshape(n).astype(np.int64)
 
 
+def _numbered(x: np.ndarray) -> tuple[np.ndarray, int]:
+    """Numbers from 0 for the different values of ``x``, and how many there are."""
+    names, number = np.unique(x, return_inverse=True)
+    return number, len(names)
+
+
 def _steps(x: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Differences of numbers that rise within groups; the first of a group as it is."""
     out = x.copy()
@@ -130,30 +136,55 @@ def _batches(docs: DataFrame, id_col: str, text_col: str, is_held_out: Callable)
     """A row for each batch: its documents, its words (hash and count in training) and its tokens as places in the list of words."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
+    def one(number: int, b: pa.RecordBatch) -> pa.RecordBatch:
+        words = find_words(b.column(1), lower=True)
+        codes, distinct = words.encode()
+        out = np.array([is_held_out(x) for x in b.column(0).to_pylist()], bool)
+        size = np.diff(words.rows)
+        train = np.repeat(~out, size)
+        count = np.append(np.bincount(codes[train], minlength=len(distinct)), (~out).sum())
+        hashes = np.append(hash_values(distinct), _END)
+        # frequent words first, so that places are small
+        order = np.lexsort((hashes, -np.append(np.bincount(codes, minlength=len(distinct)), b.num_rows)))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        stream = place[np.insert(codes, words.rows[1:], len(distinct))]
+        row = [[(TaskContext.get().partitionId() << 32) + number], [b.column(0).to_pylist()], [out.tolist()], [(size + 1).tolist()], [hashes[order].tobytes()], [_pack(count[order])], [_pack(stream)]]
+        kinds = [pa.int64(), pa.list_(b.schema.field("id").type), pa.list_(pa.bool_()), pa.list_(pa.int64()), *[pa.binary()] * 3]
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds)], names=["batch", "ids", "held", "sizes", "words", "counts", "stream"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number = TaskContext.get().partitionId(), 0
-        for b in pieces(batches, "t", BATCH_BYTES):
-            words = find_words(b.column(1), lower=True)
-            codes, distinct = words.encode()
-            out = np.array([is_held_out(x) for x in b.column(0).to_pylist()], bool)
-            size = np.diff(words.rows)
-            train = np.repeat(~out, size)
-            count = np.append(np.bincount(codes[train], minlength=len(distinct)), (~out).sum())
-            hashes = np.append(hash_values(distinct), _END)
-            # frequent words first, so that places are small
-            order = np.lexsort((hashes, -np.append(np.bincount(codes, minlength=len(distinct)), b.num_rows)))
-            place = np.empty(len(order), np.int64)
-            place[order] = np.arange(len(order))
-            stream = place[np.insert(codes, words.rows[1:], len(distinct))]
-            row = [[(part << 32) + number], [b.column(0).to_pylist()], [out.tolist()], [(size + 1).tolist()], [hashes[order].tobytes()], [_pack(count[order])], [_pack(stream)]]
-            number += 1
-            kinds = [pa.int64(), pa.list_(b.schema.field("id").type), pa.list_(pa.bool_()), pa.list_(pa.int64()), *[pa.binary()] * 3]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds)], names=["batch", "ids", "held", "sizes", "words", "counts", "stream"])
+        # what a batch needs is freed before the next
+        for number, b in enumerate(pieces(batches, "t", BATCH_BYTES)):
+            yield one(number, b)
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
     return texts.mapInArrow(run, f"batch bigint, ids array<{id_type}>, held array<boolean>, sizes array<bigint>, words binary, counts binary, stream binary")
 
 
+def _by_bucket(asked: DataFrame, n: int, one: Callable[[int, pa.Table], pa.RecordBatch], schema: str) -> DataFrame:
+    """What ``one`` makes of each bucket's messages; a task holds one bucket at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, []
+        for b in batches:
+            bucket = b.column(0).to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
+            for s, e in zip(edges[:-1], edges[1:]):
+                if s == e:
+                    continue
+                if held and bucket[s] != last:
+                    yield one(last, pa.Table.from_batches(held))
+                    held = []
+                    release()
+                last = int(bucket[s])
+                held.append(b.slice(s, e - s))
+        if held:
+            yield one(last, pa.Table.from_batches(held))
+
+    return asked.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
+
+
 def _word_answers(table: DataFrame, n: int) -> DataFrame:
     """For each batch and bucket, the ids and counts of the words asked for, in the batch's order; and a row of statistics for each partition."""
     buckets = 4 * n
@@ -169,32 +200,26 @@ def _word_answers(table: DataFrame, n: int) -> DataFrame:
                 cut_up = [order[edge[k] : edge[k + 1]] for k in some]
                 yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([batch] * len(some), pa.int64()), pa.array([h[x].tobytes() for x in cut_up], pa.binary()), pa.array([_pack(c[x]) for x in cut_up], pa.binary())], names=["bucket", "batch", "words", "counts"])
 
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, batch, words, counts = [], [], [], []
-        for b in batches:
-            for x, column in zip((bucket, batch, words, counts), b.columns):
-                x.extend(column.to_pylist())
-        if not bucket:
-            return
-        h = [np.frombuffer(x, np.uint64) for x in words]
+    def one(bucket: int, t: pa.Table) -> pa.RecordBatch:
+        h = [np.frombuffer(x, np.uint64) for x in t["words"].to_pylist()]
         name, back = np.unique(np.concatenate(h), return_inverse=True)
-        total = np.bincount(back, weights=np.concatenate([_unpack(x) for x in counts]), minlength=len(name)).astype(np.int64)
+        total = np.bincount(back, weights=np.concatenate([_unpack(x) for x in t["counts"].to_pylist()]), minlength=len(name)).astype(np.int64)
         rank = np.empty(len(name), np.int64)
         rank[np.argsort(-total, kind="stable")] = np.arange(len(name))
-        ids = rank * n + TaskContext.get().partitionId()
+        ids = rank * buckets + bucket
         times = [int((total == r).sum()) for r in range(CUTOFF + 2)]
         at, out = 0, []
         for x in h:
             i = back[at : at + len(x)]
             out.append((_pack(ids[i]), _pack(total[i])))
             at += len(x)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([*bucket, -1], pa.int32()), pa.array([*batch, -1], pa.int64()), pa.array([x for x, _ in out] + [None], pa.binary()), pa.array([x for _, x in out] + [None], pa.binary()), pa.array([None] * len(out) + [[int(total.sum()), int((total > 0).sum()), *times]], pa.list_(pa.int64()))],
+        return pa.RecordBatch.from_arrays(
+            [pa.array([bucket] * len(out) + [-1], pa.int32()), pa.array([*t["batch"].to_pylist(), -1], pa.int64()), pa.array([x for x, _ in out] + [None], pa.binary()), pa.array([x for _, x in out] + [None], pa.binary()), pa.array([None] * len(out) + [[int(total.sum()), int((total > 0).sum()), *times]], pa.list_(pa.int64()))],
             names=["bucket", "batch", "ids", "counts", "stats"],
         )
 
     asked = table.select("batch", "words", "counts").mapInArrow(ask, "bucket int, batch bigint, words binary, counts binary")
-    return asked.repartition(n, "bucket").mapInArrow(answer, "bucket int, batch bigint, ids binary, counts binary, stats array<bigint>")
+    return _by_bucket(asked, n, one, "bucket int, batch bigint, ids binary, counts binary, stats array<bigint>")
 
 
 def _sum_stats(rows: DataFrame, size: int) -> list[int]:
@@ -266,38 +291,30 @@ def _bigram_answers(joined: DataFrame, n: int, words: Words) -> DataFrame:
     """For each batch and bucket, the counts of the bigrams asked for, and of each history the discounted counts by size, the other counts' sum and its words' P(w); and statistics."""
     names = ["hist", "size", "w", "cw", "times"]
 
+    def questions(row: dict) -> pa.RecordBatch:
+        got = _Batch(row["words"], row["stream"], row["sizes"], row["held"], [(a["bucket"], a["ids"], a["counts"]) for a in row["answers"]], n, words.total)
+        out = list(got.questions())
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), pa.array([row["batch"]] * len(out), pa.int64()), *(pa.array([x[j] for _, x in out], pa.binary()) for j in range(5))], names=["bucket", "batch", *names])
+
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                row = {k: b.column(k)[i].as_py() for k in b.schema.names}
-                got = _Batch(row["words"], row["stream"], row["sizes"], row["held"], [(a["bucket"], a["ids"], a["counts"]) for a in row["answers"]], n, words.total)
-                out = list(got.questions())
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), pa.array([row["batch"]] * len(out), pa.int64()), *(pa.array([x[j] for _, x in out], pa.binary()) for j in range(5))], names=["bucket", "batch", *names])
+                yield questions({k: b.column(k)[i].as_py() for k in b.schema.names})
+                release()
 
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        for b in batches:
-            rows.extend(zip(*(c.to_pylist() for c in b.columns)))
-        if not rows:
-            return
+    def one(bucket: int, t: pa.Table) -> pa.RecordBatch:
         hist, size, w, cw, times = [], [], [], [], []
-        for _, _, a, s, x, c, t in rows:
-            a, s = _unpack(a), _unpack(s)
-            hist.append(np.cumsum(a))
+        for a, s, x, c, k in zip(*(t[k].to_pylist() for k in names)):
+            s = _unpack(s)
+            hist.append(np.cumsum(_unpack(a)))
             size.append(s)
             w.append(_unstep(_unpack(x), (np.cumsum(s) - s)[s > 0], s[s > 0]))
             cw.append(_unpack(c))
-            times.append(_unpack(t))
+            times.append(_unpack(k))
         lengths, entries = [len(x) for x in hist], [len(x) for x in w]
         hist, size, w, cw, times = map(np.concatenate, (hist, size, w, cw, times))
-        bucket = np.repeat(np.array([r[0] for r in rows]), lengths)
         # a bucket's part of a history is a history of its own here
-        o = np.lexsort((hist, bucket))
-        new = np.ones(len(o), bool)
-        new[1:] = (hist[o][1:] != hist[o][:-1]) | (bucket[o][1:] != bucket[o][:-1])
-        part = np.empty(len(o), np.int64)
-        part[o] = np.cumsum(new) - 1
-        n_parts = int(new.sum())
+        part, n_parts = _numbered(hist)
         owner = np.repeat(part, size)
         o = np.lexsort((w, owner))
         new = np.ones(len(o), bool)
@@ -306,27 +323,27 @@ def _bigram_answers(joined: DataFrame, n: int, words: Words) -> DataFrame:
         which[o] = np.cumsum(new) - 1
         count = np.bincount(which, weights=times).astype(np.int64) if len(o) else np.zeros(0, np.int64)
         p_owner, p_cw = owner[o][new], cw[o][new]
+        del o, new, owner, w, cw, times
         seen = count > 0
         mass = np.bincount(p_owner[seen], weights=words.probability(p_cw[seen]), minlength=n_parts)
         small = [np.bincount(p_owner[count == r], minlength=n_parts) for r in range(1, CUTOFF + 1)]
         large = np.bincount(p_owner[count > CUTOFF], weights=count[count > CUTOFF], minlength=n_parts).astype(np.int64)
         stats = [int((count == r).sum()) for r in range(CUTOFF + 2)]
-        out: list[list] = [[] for _ in range(4)]
+        counts, histories = [], []
         i = j = 0
-        for (k, batch, *_), li, le in zip(rows, lengths, entries):
+        for li, le in zip(lengths, entries):
             p = part[i : i + li]
-            out[0].append(batch)
-            out[1].append(k)
-            out[2].append(_pack(count[which[j : j + le]]))
-            out[3].append([_pack(x[p]) for x in (*small, large)] + [pa.Codec("zstd", 1).compress(mass[p].tobytes(), asbytes=True)])
+            counts.append(_pack(count[which[j : j + le]]))
+            histories.append([_pack(x[p]) for x in (*small, large)] + [pa.Codec("zstd", 1).compress(mass[p].tobytes(), asbytes=True)])
             i, j = i + li, j + le
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([*out[0], -1], pa.int64()), pa.array([*out[1], -1], pa.int32()), pa.array([*out[2], None], pa.binary()), pa.array([*out[3], None], pa.list_(pa.binary())), pa.array([None] * len(rows) + [stats], pa.list_(pa.int64()))],
+        k = len(counts)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([*t["batch"].to_pylist(), -1], pa.int64()), pa.array([bucket] * k + [-1], pa.int32()), pa.array([*counts, None], pa.binary()), pa.array([*histories, None], pa.list_(pa.binary())), pa.array([None] * k + [stats], pa.list_(pa.int64()))],
             names=["batch", "bucket", "counts", "histories", "stats"],
         )
 
     asked = joined.mapInArrow(ask, "bucket int, batch bigint, " + ", ".join(f"{k} binary" for k in names))
-    return asked.repartition(n, "bucket").mapInArrow(answer, "batch bigint, bucket int, counts binary, histories array<binary>, stats array<bigint>")
+    return _by_bucket(asked, n, one, "batch bigint, bucket int, counts binary, histories array<binary>, stats array<bigint>")
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", is_held_out: Callable = held_out) -> DataFrame:
@@ -356,6 +373,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             for b in batches:
                 for i in range(b.num_rows):
                     yield _scored({k: b.column(k)[i].as_py() for k in b.schema.names}, b.schema.field("ids").type.value_type, n, words, d)
+                    release()
 
         schema = f"id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
         return cut(last.mapInArrow(run, schema)).withColumnRenamed("id", id_col)
