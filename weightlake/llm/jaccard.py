@@ -147,30 +147,33 @@ def _profile(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     texts = _texts(docs, id_col, text_col)
     id_type = texts.schema["id"].dataType.simpleString()
 
+    def one(b: pa.RecordBatch) -> pa.RecordBatch:
+        sets = shingle_sets(b.column(2))
+        refs = [_signature(s) for s in sets]
+        different = {r: s for r, s in zip(refs, sets)}
+        token, times = np.unique(np.concatenate(list(different.values())), return_counts=True)
+        often = np.flatnonzero(times >= 3)
+        often = often[np.argsort(-times[often], kind="stable")[:4096]]
+        m, k = b.num_rows, len(often)
+        classes = [_class_counts(s) for s in sets]
+        none = pa.nulls(k)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.concat_arrays([b.column(0), none.cast(b.column(0).type)]),
+                pa.concat_arrays([b.column(1), none.cast(pa.int64())]),
+                pa.array([*map(len, sets)] + [None] * k, pa.int64()),
+                pa.array(refs + [None] * k, pa.int64()),
+                pa.array(classes + [None] * k, pa.binary()),
+                *(pa.array([_sketch(s, order) for s in sets] + [None] * k, pa.binary()) for order in (2, 3)),
+                pa.concat_arrays([pa.nulls(m, pa.int64()), pa.array(token[often].view(np.int64))]),
+                pa.concat_arrays([pa.nulls(m, pa.int64()), pa.array(times[often].astype(np.int64))]),
+            ],
+            names=["id", "th", "n", "ref", "classes", "second", "third", "token", "times"],
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, "t"):
-            sets = shingle_sets(b.column(2))
-            refs = [_signature(s) for s in sets]
-            different = {r: s for r, s in zip(refs, sets)}
-            token, times = np.unique(np.concatenate(list(different.values())), return_counts=True)
-            often = np.flatnonzero(times >= 3)
-            often = often[np.argsort(-times[often], kind="stable")[:4096]]
-            m, k = b.num_rows, len(often)
-            classes = [_class_counts(s) for s in sets]
-            none = pa.nulls(k)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.concat_arrays([b.column(0), none.cast(b.column(0).type)]),
-                    pa.concat_arrays([b.column(1), none.cast(pa.int64())]),
-                    pa.array([*map(len, sets)] + [None] * k, pa.int64()),
-                    pa.array(refs + [None] * k, pa.int64()),
-                    pa.array(classes + [None] * k, pa.binary()),
-                    *(pa.array([_sketch(s, order) for s in sets] + [None] * k, pa.binary()) for order in (2, 3)),
-                    pa.concat_arrays([pa.nulls(m, pa.int64()), pa.array(token[often].view(np.int64))]),
-                    pa.concat_arrays([pa.nulls(m, pa.int64()), pa.array(times[often].astype(np.int64))]),
-                ],
-                names=["id", "th", "n", "ref", "classes", "second", "third", "token", "times"],
-            )
+        # what a piece needs is freed before the next
+        return map(one, pieces(batches, "t"))
 
     return texts.mapInArrow(run, f"id {id_type}, th bigint, n bigint, ref bigint, classes binary, second binary, third binary, token bigint, times bigint")
 
@@ -204,43 +207,46 @@ def _meetings(docs: DataFrame, id_col: str, text_col: str, often: tuple[np.ndarr
     n_buckets = 4 * n_parts
     split_at = max(int(times.sum()) // n_buckets, 1000) if len(times) else 1
 
+    def one(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        different = {}
+        for s in shingle_sets(b.column(2)):
+            if len(s):
+                different.setdefault(_signature(s), s)
+        sets = list(different.values())
+        if not sets:
+            return
+        refs = np.array(list(different), np.int64)
+        sizes = np.array([len(s) for s in sets])
+        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+        if len(tokens):
+            at = np.minimum(np.searchsorted(tokens, flat), len(tokens) - 1)
+            count = np.where(tokens[at] == flat, times[at], 0)
+        else:
+            count = np.zeros(len(flat), np.int64)
+        order = np.lexsort((mix(flat), count, owner))
+        start = np.concatenate([[0], np.cumsum(sizes)])[:-1]
+        rank = np.arange(len(flat)) - np.repeat(start, sizes)
+        first = order[rank < np.repeat([_prefix_size(n) for n in sizes.tolist()], sizes)]
+        t, o, c = flat[first], owner[first], count[first]
+        spread = np.clip(c // split_at + 1, 1, n_buckets).astype(np.uint64)
+        bucket = ((mix(t) + mix(refs[o].view(np.uint64)) % spread * np.uint64(7919)) % np.uint64(n_buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        t, o, c, bucket = t[order], o[order], c[order], bucket[order]
+        edge = np.searchsorted(bucket, np.arange(n_buckets + 1))
+        out = ([], [], [], [], [])
+        for k in np.flatnonzero(np.diff(edge)).tolist():
+            part = slice(edge[k], edge[k + 1])
+            local, index = np.unique(o[part], return_inverse=True)
+            out[0].append(k)
+            out[1].append(refs[local].tobytes())
+            out[2].append(sizes[local].astype(np.int64).tobytes())
+            out[3].append(t[part].tobytes())
+            out[4].append((index.astype("<u4") | ((c[part] > 0).astype("<u4") << np.uint32(31))).tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(x, pa.binary()) for x in out[1:])], names=["bucket", "refs", "sizes", "tokens", "owners"])
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "t"):
-            different = {}
-            for s in shingle_sets(b.column(2)):
-                if len(s):
-                    different.setdefault(_signature(s), s)
-            sets = list(different.values())
-            if not sets:
-                continue
-            refs = np.array(list(different), np.int64)
-            sizes = np.array([len(s) for s in sets])
-            flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-            if len(tokens):
-                at = np.minimum(np.searchsorted(tokens, flat), len(tokens) - 1)
-                count = np.where(tokens[at] == flat, times[at], 0)
-            else:
-                count = np.zeros(len(flat), np.int64)
-            order = np.lexsort((mix(flat), count, owner))
-            start = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-            rank = np.arange(len(flat)) - np.repeat(start, sizes)
-            first = order[rank < np.repeat([_prefix_size(n) for n in sizes.tolist()], sizes)]
-            t, o, c = flat[first], owner[first], count[first]
-            spread = np.clip(c // split_at + 1, 1, n_buckets).astype(np.uint64)
-            bucket = ((mix(t) + mix(refs[o].view(np.uint64)) % spread * np.uint64(7919)) % np.uint64(n_buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            t, o, c, bucket = t[order], o[order], c[order], bucket[order]
-            edge = np.searchsorted(bucket, np.arange(n_buckets + 1))
-            out = ([], [], [], [], [])
-            for k in np.flatnonzero(np.diff(edge)).tolist():
-                part = slice(edge[k], edge[k + 1])
-                local, index = np.unique(o[part], return_inverse=True)
-                out[0].append(k)
-                out[1].append(refs[local].tobytes())
-                out[2].append(sizes[local].astype(np.int64).tobytes())
-                out[3].append(t[part].tobytes())
-                out[4].append((index.astype("<u4") | ((c[part] > 0).astype("<u4") << np.uint32(31))).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(x, pa.binary()) for x in out[1:])], names=["bucket", "refs", "sizes", "tokens", "owners"])
+            yield from one(b)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, r, n, f = [], [], [], []
@@ -403,13 +409,16 @@ def _may_link(met: DataFrame, comp: DataFrame, classes: DataFrame) -> DataFrame:
     rows = rows.join(mixed, "token").withColumn("level", _level("n"))
     rows = cut(rows.select("token", "ref", "n", "component", "level", F.explode(F.array("level", F.col("level") + 1)).alias("cell")))
     lead = F.min(F.struct(F.xxhash64(F.lit(11), "ref"), "ref"))["ref"].alias("lead")
-    cells = rows.groupBy("token", "cell").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("level").alias("top"), lead, _n_blocks())
-    cells = cells.where((F.col("lo") != F.col("hi")) & (F.col("top") == F.col("cell"))).select("token", "cell", "lead", "blocks")
-    rows = _in_blocks(rows.drop("level"), ["token", "cell"], cells).join(classes, "ref").select(*_KEYS, "token", "own", "ref", "component", "n", "classes")
+    cells = rows.groupBy("token", "cell").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("level").alias("top"), F.count("*").alias("size"), lead, _n_blocks())
+    cells = cut(cells.where((F.col("lo") != F.col("hi")) & (F.col("top") == F.col("cell"))).select("token", "cell", "lead", "blocks", "size"))
+    # a lead with many cells has them dealt over several tasks
+    spread = cells.groupBy("lead", "cell").agg(F.ceil(F.sum("size") / BLOCK).alias("spread"))
+    cells = cells.join(spread, ["lead", "cell"]).select("token", "cell", "lead", "blocks", F.pmod(F.xxhash64("token"), "spread").cast("int").alias("part"))
+    rows = _in_blocks(rows.drop("level"), ["token", "cell"], cells).join(classes, "ref").select(*_KEYS, "part", "token", "own", "ref", "component", "n", "classes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, found = None, {}
-        for (*key, _), t in _groups(batches, 5):
+        for (*key, _), t in _groups(batches, 6):
             if key != last:
                 if found:
                     yield _flagged(last, found)
@@ -426,7 +435,7 @@ def _may_link(met: DataFrame, comp: DataFrame, classes: DataFrame) -> DataFrame:
         if found:
             yield _flagged(last, found)
 
-    return rows.repartition(parts(met.sparkSession), *_KEYS).sortWithinPartitions(*_KEYS, "token").mapInArrow(run, _FOUND).distinct()
+    return rows.repartition(parts(met.sparkSession), *_KEYS, "part").sortWithinPartitions(*_KEYS, "part", "token").mapInArrow(run, _FOUND).distinct()
 
 
 def _may_link_sketched(members: DataFrame, sketches: DataFrame) -> DataFrame:
