@@ -51,3 +51,30 @@ def test_stages_against_brute_force(spark, tmp_path):
 def test_run(spark):
     df = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"} <= set(df.columns) and df.count() > 0
+
+
+def test_stages_with_odd_rows(spark):
+    """Nulls, empty texts, ties, repeated rows, an extra column and no rows at all, for every filtering stage."""
+    long = " ".join(f"word{i % 70} thing{i}" for i in range(80))
+    rows = [(1, long, "b"), (1, long, "a"), (2, long, "c"), (3, None, "d"), (4, "", "e"), (4, "", "e"), (4, "", "e"), (None, long, "f"), (None, None, "g"), (7, "short text", "h"), (8, "x " * 3000, "i")]
+    schema = "doc_id long, text string, ref string"
+    docs = spark.createDataFrame(rows, schema)
+
+    def left(stage, df=docs):
+        got = stage(spark, df, SF)
+        assert got.columns == df.columns
+        return sorted(map(tuple, got.collect()), key=str)
+
+    # texts below 50 words or full of repeats fail the rules; equal rows get equal verdicts
+    assert {r[:2] for r in left(corpus_pipeline.quality_rules)} == {(1, long), (2, long), (None, long)}
+    # a null id comes first, so it keeps the line; texts without a word are left as they are, rows that repeat id and text are alike
+    assert left(corpus_pipeline.line_dedup) == sorted([(None, long, "f"), *rows[3:7], *rows[8:]], key=str)
+    # the null id is least of its group; all documents without words stay
+    assert left(corpus_pipeline.near_duplicates) == sorted([(None, long, "f"), *rows[3:7], *rows[8:]], key=str)
+    # of rows that repeat id and text the least stays, whatever else repeats
+    assert left(corpus_pipeline.near_duplicates, docs.where("doc_id = 1 OR doc_id = 4")) == sorted([(1, long, "a"), *rows[4:7]], key=str)
+    assert left(corpus_pipeline.decontamination) == sorted(rows, key=str)
+    none = spark.createDataFrame([], schema)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, SF).count() == 0
+    assert {r.doc_id for r in corpus_pipeline.pack(spark, docs, SF).collect()} == {r[0] for r in rows}

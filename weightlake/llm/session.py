@@ -12,14 +12,22 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 8 << 20
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors see; only a local session may do without the setting."""
+    context = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
+    if shared:
+        return shared
+    if not (context.master or "").startswith("local") or context.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return os.path.join(tempfile.gettempdir(), "weightlake-checkpoints")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed and kept in the shared checkpoint folder, so that a lost executor costs no recomputation and no read differs from another."""
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
-        # only a local session has no such folder
-        context.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "weightlake-checkpoints"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
