@@ -6,8 +6,6 @@ kept; ``run`` writes every stage's documents and reads them again for the next.
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +13,7 @@ from pyspark.sql import functions as F
 
 from weightlake.llm import decontam, jaccard, lines, packing, quality
 from weightlake.llm.queries import tokenizer_path
-from weightlake.llm.session import cut, table
+from weightlake.llm.session import cut, shared_folder, table
 
 #: The stages' models and neighbours are not expressible in SQL; tests hold the rows against brute force.
 ORACLE_SQL = None
@@ -37,15 +35,22 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked documents: the one with the least id."""
-    found = cut(jaccard.jaccard_components(docs))
-    least = found.where("n_shingles > 0").groupBy("component").agg(F.min(F.struct("doc_id", "th")).alias("least"), F.count("*").alias("n")).where("n > 1")
-    # what goes: members of a group other than its first; of rows that repeat id and text one stays
+    """One document of each group of linked documents: the one with the least id (null first), then the least hash of its text.
+
+    Of rows that repeat id and text the least row stays, by the columns in
+    their order; documents without words are in no group and all stay.
+    """
+    found = cut(jaccard.jaccard_components(docs)).where("n_shingles > 0")
+    least = found.groupBy("component").agg(F.min(F.struct("doc_id", "th")).alias("least"), F.count("*").alias("n")).where("n > 1")
+    # what goes: members of a group other than its first
     gone = found.join(least, "component").where(F.struct("doc_id", "th") != F.col("least")).select(F.col("doc_id").alias("gone_id"), F.col("th").alias("gone_th")).distinct()
+    same = lambda id_col, th_col: (F.col("th") == F.col(th_col)) & F.col("id").eqNullSafe(F.col(id_col))
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("th"))
-    rows = rows.join(gone, (F.col("th") == F.col("gone_th")) & F.col("id").eqNullSafe(F.col("gone_id")), "left_anti")
-    if not found.where("n_shingles > 0").groupBy("doc_id", "th").count().where("count > 1").isEmpty():
-        rows = rows.dropDuplicates(["id", "th"])
+    rows = rows.join(gone, same("gone_id", "gone_th"), "left_anti")
+    again = found.groupBy(F.col("doc_id").alias("again_id"), F.col("th").alias("again_th")).count().where("count > 1").drop("count")
+    if not again.isEmpty():
+        one = rows.join(again, same("again_id", "again_th"), "left_semi").groupBy("id", "th").agg(F.min("row").alias("row"))
+        rows = rows.join(again, same("again_id", "again_th"), "left_anti").select("row").unionByName(one.select("row"))
     return rows.select("row.*")
 
 
@@ -75,8 +80,7 @@ def _drop(spark: SparkSession, path: str) -> None:
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows over the documents of ``sf_dir``; the other stages' tables are dropped when the next is written."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    top = f"{shared or os.path.join(tempfile.gettempdir(), 'weightlake-checkpoints')}/pipeline-{uuid.uuid4().hex}"
+    top = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{top}/{k}")
