@@ -124,6 +124,39 @@ def test_torch_zip(tmp_path):
     assert [(t["name"], t["dtype"], raw[t["start"] : t["end"]]) for t in found] == [("data/0", "BF16", b"ab" * 10), ("data/1", "U8", b"c" * 7)]
 
 
+def test_storage_classes_of_real_pickles():
+    """Pickles as a writer of persistent ids makes them, in every protocol that has them, with shared and repeated names."""
+    import io
+    import pickle
+    import sys
+    import types
+
+    torch = types.ModuleType("torchlike")
+    for name in ("HalfStorage", "BFloat16Storage"):
+        kind = type(name, (), {"__module__": "torchlike"})
+        setattr(torch, name, kind)
+    sys.modules["torchlike"] = torch
+
+    class Stored:
+        def __init__(self, kind, key):
+            self.id = ("storage", getattr(torch, kind), key, "cpu", 10)
+
+    class Writer(pickle.Pickler):
+        def persistent_id(self, x):
+            return x.id if isinstance(x, Stored) else None
+
+    try:
+        tree = {"a": [Stored("HalfStorage", "0"), (1, 2, 3)], "b": {"c": Stored("BFloat16Storage", "1"), "storage": Stored("HalfStorage", "2")}, "d": ("storage", "no class", "3")}
+        for protocol in (1, 2, 3, 4, 5):
+            out = io.BytesIO()
+            Writer(out, protocol).dump(tree)
+            assert containers.storage_classes(out.getvalue()) == {"0": "HalfStorage", "1": "BFloat16Storage", "2": "HalfStorage"}
+            with pytest.raises((ValueError, IndexError)):
+                containers.storage_classes(out.getvalue()[:-20])
+    finally:
+        del sys.modules["torchlike"]
+
+
 @pytest.fixture(scope="module")
 def model(spark, tmp_path_factory):
     w, v = bf16(40_000), bf16(30_000)
@@ -146,6 +179,19 @@ def model(spark, tmp_path_factory):
     return root, files
 
 
+def test_reads_touch_few_chunks(spark, model, monkeypatch):
+    """A tensor or a file is read from its own chunks and those that these take bytes from."""
+    root, files = model
+    real, seen = archive.decoded, []
+    monkeypatch.setattr(archive, "decoded", lambda chunks, *a, **k: seen.append(chunks.count()) or real(chunks, *a, **k))
+    total = spark.read.parquet(f"{root}/chunks").count()
+    got = {r.path: bytes(r.bytes) for r in archive.read_tensor(root, spark, "z", OPT).collect()}
+    assert got == {"b.safetensors": files["m", "b.safetensors"][-60_000:]}
+    assert contents(archive.restore(root, spark, "one.bin", OPT)) == {("n", "one.bin"): files["n", "one.bin"]}
+    assert contents(archive.restore(root, spark, "empty.bin", OPT)) == {("m", "empty.bin"): b""}
+    assert seen[0] < total / 2 and seen[1:] == [1, 0]
+
+
 def contents(df):
     return {(r.archive, r.path): bytes(r.content) for r in df.collect()}
 
