@@ -16,8 +16,17 @@ FIELDS = ["start", "end", "esize", "kind", "src", "btype", "ikind"]
 
 
 def member_offsets(members: DataFrame, order: list[str], size: str = "size") -> DataFrame:
-    """Adds ``dst``: where each member starts in the one output space."""
-    return running_total(members, size, order, "dst")
+    """Adds ``dst``: where each member starts in the one output space.
+
+    ``order`` tells the members apart. Offsets are made of it and the sizes
+    alone; other columns are joined to them, so contents are not sorted.
+    """
+    placed = running_total(members.select(*order, size), size, order, "dst")
+    if set(members.columns) == {*order, size}:
+        return placed
+    names = {k: f"_{k}_of" for k in order}
+    same = [F.col(k).eqNullSafe(F.col(v)) for k, v in names.items()]
+    return members.join(placed.drop(size).withColumnsRenamed(names), same).drop(*names.values())
 
 
 def plain(df: DataFrame) -> DataFrame:

@@ -43,10 +43,10 @@ def tensor_requests(tensors: DataFrame, members: DataFrame, keys: list[str]) ->
     return t.withColumn("pos", F.col("dst") + F.col("start")).withColumn("len", F.col("end") - F.col("start")).drop("dst")
 
 
-def resolve_sources(chunks: DataFrame, keys: list[str], ref: int, delta: int, grain: int) -> DataFrame:
-    """For each copy or difference, the chunks that hold its source bytes; which must have bytes of their own."""
+def resolve_sources(chunks: DataFrame, keys: list[str], ref: int, delta: int, grain: int, holders: DataFrame | None = None) -> DataFrame:
+    """For each copy or difference, the chunks, of ``holders`` if given, that hold its source bytes; which must have bytes of their own."""
     wants = chunks.where(F.col("codec").isin(ref, delta)).select(*keys, F.col("chunk_id").alias("for_chunk"), F.col("src").alias("pos"), F.col("rlen").alias("len"))
-    holds = chunks.select(*keys, "chunk_id", "dst", "rlen", "codec")
+    holds = (chunks if holders is None else holders).select(*keys, "chunk_id", "dst", "rlen", "codec")
     found = overlaps(wants, holds, keys, grain)
     begin, stop = F.greatest("pos", "dst"), F.least(F.col("pos") + F.col("len"), F.col("dst") + F.col("rlen"))
     return found.select(*keys, "for_chunk", F.col("chunk_id").alias("source_chunk"), F.col("codec").alias("source_codec"), (begin - F.col("dst")).alias("begin"), (stop - F.col("dst")).alias("stop"), (begin - F.col("pos")).alias("at"))
@@ -57,6 +57,14 @@ def chained(resolved: DataFrame, ref: int, delta: int) -> DataFrame:
     return resolved.where(F.col("source_codec").isin(ref, delta))
 
 
+def touched(requests: DataFrame, chunks: DataFrame, keys: list[str], ref: int, delta: int, grain: int) -> DataFrame:
+    """(keys, chunk_id) of the chunks that requests (pos, len) touch, and of those that these take bytes from."""
+    hit = overlaps(requests.select(*keys, "pos", "len"), chunks.select(*keys, "chunk_id", "dst", "rlen"), keys, grain).select(*keys, "chunk_id").distinct()
+    asked = chunks.join(hit, [*keys, "chunk_id"], "left_semi")
+    more = resolve_sources(asked, keys, ref, delta, grain, chunks).select(*keys, F.col("source_chunk").alias("chunk_id"))
+    return hit.unionByName(more).distinct()
+
+
 def unresolved(chunks: DataFrame, resolved: DataFrame, keys: list[str], ref: int, delta: int) -> DataFrame:
     """Copies and differences whose source is not wholly there."""
     have = resolved.groupBy(*keys, F.col("for_chunk").alias("chunk_id")).agg(F.sum(F.col("stop") - F.col("begin")).alias("_have"))

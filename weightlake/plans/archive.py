@@ -212,6 +212,13 @@ def decoded(chunks: DataFrame, options: Options = Options(), verify: bool = True
     return own.unionByName(rest.select(*own.columns))
 
 
+def _decoded_for(requests: DataFrame, chunks: DataFrame, options: Options) -> DataFrame:
+    """The chunks that requests (archive, pos, len) touch, with their bytes; no others are read beyond their places."""
+    places = chunks.select("archive", "chunk_id", "dst", "rlen", "codec", "src")
+    ids = kept(reads.touched(requests, places, ["archive"], c.C_REF, c.C_DELTA, options.chunk_size))
+    return decoded(chunks.join(ids, ["archive", "chunk_id"], "left_semi"), options)
+
+
 def faults(root: str, spark: SparkSession, options: Options = Options()) -> DataFrame:
     """(archive, what, at): all that is wrong with archives below a root; empty if they are whole."""
     members, chunks = spark.read.parquet(f"{root}/members"), spark.read.parquet(f"{root}/chunks")
@@ -228,8 +235,13 @@ def faults(root: str, spark: SparkSession, options: Options = Options()) -> Data
 def restore(root: str, spark: SparkSession, path: str | None = None, options: Options = Options()) -> DataFrame:
     """(archive, path, content): the files of archives below a root, or those of one path. Empty files have no chunks."""
     members, chunks = spark.read.parquet(f"{root}/members"), spark.read.parquet(f"{root}/chunks")
-    parts = decoded(chunks, options).groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct("start", "data"))).alias("p"))
     wanted = members.select(*KEYS) if path is None else members.where(F.col("path") == path).select(*KEYS)
+    if path is None:
+        whole = decoded(chunks, options)
+    else:
+        asked = members.join(wanted, KEYS, "left_semi").where("size > 0").select("archive", F.col("dst").alias("pos"), F.col("size").alias("len"))
+        whole = _decoded_for(asked, chunks, options).join(wanted, KEYS, "left_semi")
+    parts = whole.groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct("start", "data"))).alias("p"))
     content = F.aggregate(F.coalesce("p", F.array().cast("array<struct<start:bigint,data:binary>>")), F.unhex(F.lit("")), lambda a, x: F.concat(a, x["data"]))
     return wanted.join(parts, KEYS, "left").select(*KEYS, content.alias("content"))
 
@@ -240,7 +252,7 @@ def read_tensor(root: str, spark: SparkSession, name: str, options: Options = Op
     if tensors.isEmpty():
         raise KeyError(name)
     asked = tensors.join(members.select(*KEYS, "dst"), KEYS).withColumn("pos", F.col("dst") + F.col("start")).withColumn("len", F.col("end") - F.col("start")).drop("dst", "start", "end")
-    chunks = decoded(spark.read.parquet(f"{root}/chunks"), options).select("archive", "dst", "rlen", "data")
+    chunks = _decoded_for(asked, spark.read.parquet(f"{root}/chunks"), options).select("archive", "dst", "rlen", "data")
     ask = ["archive", "path", "name"]
     got = reads.read_ranges(asked.select(*ask, "pos", "len"), chunks, ["archive"], ask, options.chunk_size)
     return asked.select(*ask, "dtype", "shape").join(got, ask)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import codec as c
 from .functions import scalars as s
+from .functions.kernels import FREQUENCY_BYTES, SCALE
 from .functions.tables import BF16, BYTES, DELTA, DTYPE_WIDTH, REF
 from .operators import catalog, codecs, dedup, planning, reads, stats
 from .plans.session import share, table
@@ -205,7 +206,12 @@ def est_stream_cost(spark, sf):
     return e.select("source", "total", stats.stream_estimate(F.col("total"), F.col("bits")).alias("estimate"), stats.min_gain(F.col("total")).alias("least_gain"))
 
 
-@query()
+@query(_SOURCE_BYTES + f""", scaled AS (SELECT *, greatest(cnt * {SCALE} // (sum(cnt) OVER (PARTITION BY source))::BIGINT, 1) AS f FROM counts),
+spare AS (SELECT *, {SCALE} - (sum(f) OVER (PARTITION BY source))::BIGINT AS spare FROM scaled),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN spare >= 0 THEN cnt ELSE f END DESC, byte) AS k FROM spare),
+given AS (SELECT source, byte, cnt, (f + CASE WHEN k = 1 THEN spare ELSE 0 END)::BIGINT AS freq FROM ranked),
+costs AS (SELECT source, {FREQUENCY_BYTES} + floor(-sum(cnt * log2(freq / {SCALE}.0)) / 8)::BIGINT AS cost FROM given GROUP BY source)
+SELECT source, byte, cnt, freq, cost FROM given JOIN costs USING (source)""")
 def code_frequencies(spark, sf):
     return stats.code_frequencies(source_counts(spark, sf), ["source"])
 
@@ -550,7 +556,7 @@ def parse_size(spark, sf):
 
 @query("SELECT o_orderkey, CASE WHEN n >= 1048576 THEN printf('%.2f MiB', n / 1048576) WHEN n >= 1024 THEN printf('%.2f KiB', n / 1024) ELSE printf('%d B', n) END AS shown FROM (SELECT o_orderkey, (o_totalprice * o_orderkey % 3000000)::BIGINT AS n FROM orders)")
 def human_size(spark, sf):
-    n = F.round(F.col("o_totalprice") * F.col("o_orderkey") % 3000000).cast("long")
+    n = F.rint(F.col("o_totalprice") * F.col("o_orderkey") % 3000000).cast("long")
     return table(spark, sf, "orders").select("o_orderkey", s.human_size(n).alias("shown"))
 
 
@@ -588,7 +594,7 @@ SELECT i.o_custkey, i.o_orderkey, i.n, f.nxt, CASE WHEN f.acc + i.size >= 250000
 SELECT o_custkey, o_orderkey, batch::INT AS batch FROM f""")
 def greedy_batches(spark, sf):
     """Orders of a customer in batches that close at a total."""
-    o = table(spark, sf, "orders").where("o_custkey IS NOT NULL").select("o_custkey", "o_orderkey", F.round("o_totalprice").cast("long").alias("size"))
+    o = table(spark, sf, "orders").where("o_custkey IS NOT NULL").select("o_custkey", "o_orderkey", F.rint("o_totalprice").cast("long").alias("size"))
     return reads.greedy_batches(o, ["o_custkey"], "o_orderkey", "size", 250_000)
 
 
