@@ -2,6 +2,8 @@ import random
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from weightlake.llm import substrings
 
 
@@ -61,3 +63,26 @@ def test_paths_are_compacted(spark):
     assert len(got) == 3 and len({s.path for r in got for s in r.spans}) == 1
     for r in got:
         assert {s.origin for s in r.spans} == {r.id * 7} and max(s.end for s in r.spans) - min(s.start for s in r.spans) == 300
+
+
+def test_what_is_removed_comes_from_paths(spark, monkeypatch):
+    """Without paths, or with other words at their sources, nothing is removed; words stay whole where digests disagree."""
+    passage = " ".join(f"p{i}" for i in range(60))
+    docs = spark.createDataFrame([(i, f"a{i} b{i} {passage} c{i}") for i in range(4)], "doc_id long, text string")
+    removed = lambda: sorted(r.n_removed for r in substrings.remove_repeats(docs).collect())
+    assert removed() == [60] * 4
+    real = substrings.compact_paths
+    monkeypatch.setattr(substrings, "compact_paths", lambda found: real(found).where("false"))
+    assert removed() == [0] * 4
+    monkeypatch.setattr(substrings, "compact_paths", lambda found: real(found).withColumn("source_check", F.col("source_check") + 1))
+    assert removed() == [0] * 4
+
+
+def test_paths_and_their_sources(spark):
+    """Two passages that always follow each other are one path, whose source is the earliest document."""
+    one, two = (" ".join(f"{c}{i}" for i in range(50)) for c in "xy")
+    docs = spark.createDataFrame([(5, f"{one} {two}"), (3, f"start {one} {two} end"), (8, f"q {one} r")], "doc_id long, text string")
+    found = {r.id: sorted((s.start, s.end, s.origin) for s in r.spans) for r in substrings.repeated_spans(docs).collect()}
+    covered = {k: {w for a, e, _ in v for w in range(a, e)} for k, v in found.items()}
+    assert covered == {5: set(range(100)), 3: set(range(1, 101)), 8: set(range(1, 51))}
+    assert min(o for _, _, o in found[3]) == 1 and min(o for _, _, o in found[5]) == 0

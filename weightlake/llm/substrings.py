@@ -6,10 +6,11 @@ their 8-word parts): a run of windows with one minimizer travels as one row,
 and only if its minimizer occurs twice. Where runs with one minimizer meet,
 edges are counted and every run is cut to its repeated edges. Joins then
 compact these stretches into nonbranching paths: a stretch continues another if
-it is the only one to follow it and follows only it. Words that a repeated
-stretch covers are removed. The paths name the stretches in ``repeated_spans``
-and do not decide what is removed; windows are equal by two 64-bit hashes, and
-their words are not compared with those of a source.
+it is the only one to follow it and follows only it. A path's source is where
+its first stretch stands earliest. Each occurrence of a stretch is held against
+the words at the path's source, by a digest from a second hash of every word
+that took no part in naming the stretch, and the words of those that agree are
+removed.
 
 Defined results: a null or empty text has no words; rows that repeat id and
 text are documents that repeat each other, so all their windows repeat; rows
@@ -142,7 +143,7 @@ def _run_rows(wanted: DataFrame, window: int) -> DataFrame:
 
 
 def _stretches(runs: DataFrame) -> DataFrame:
-    """A row for each run row and stretch of repeated edges in it: stretch, name, first edge, offset, edges, whether it ends the run, occurrences."""
+    """A row for each run row and stretch of repeated edges in it: stretch (its name), check (the digest of its words), first edge, offset, edges, whether it ends the run, occurrences."""
     occ_type = runs.schema["occ"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,31 +190,35 @@ def _stretches(runs: DataFrame) -> DataFrame:
         low, high = np.searchsorted(run_at, run_of), np.searchsorted(run_at, run_of, side="right")
         rows = np.repeat(np.arange(len(run_of)), high - low)
         which = np.repeat(low, high - low) + np.arange(len(rows)) - np.repeat(np.cumsum(high - low) - (high - low), high - low)
-        # named by its edges, so that runs of different ends share their stretches
-        done = np.concatenate([[np.uint64(0)], np.cumsum(mix(a ^ mix(c)))])
-        label = mix(done[end + 1] - done[begin] + mix(a[begin]) + mix(c[end]) + (end - begin).astype(np.uint64))[which]
+
+        def digest_of(edges: np.ndarray) -> np.ndarray:
+            done = np.concatenate([[np.uint64(0)], np.cumsum(mix(edges))])
+            return mix(done[end + 1] - done[begin] + mix(edges[begin]) + mix(edges[end] + np.uint64(1)) + (end - begin).astype(np.uint64))[which]
+
+        # named by one hash of its edges, so that runs of different ends share their stretches; its words are known by the other
+        label, check = digest_of(a), digest_of(c)
         occ = t["occ"].combine_chunks()
         occ = occ.chunk(0) if isinstance(occ, pa.ChunkedArray) else occ
         for k in range(0, len(rows), 20_000):
             s, w = rows[k : k + 20_000], which[k : k + 20_000]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(label[k : k + 20_000].view(np.int64)), pa.array(a[begin[w]].view(np.int64)), pa.array(at[w]), pa.array((end - begin + 1)[w]), pa.array(last[w]), occ.take(pa.array(s))],
-                names=["stretch", "first", "at", "edges", "ends", "occ"],
+                [pa.array(label[k : k + 20_000].view(np.int64)), pa.array(check[k : k + 20_000].view(np.int64)), pa.array(a[begin[w]].view(np.int64)), pa.array(at[w]), pa.array((end - begin + 1)[w]), pa.array(last[w]), occ.take(pa.array(s))],
+                names=["stretch", "check", "first", "at", "edges", "ends", "occ"],
             )
 
-    return runs.repartition(parts(runs.sparkSession), "low").mapInArrow(run, f"stretch bigint, first bigint, at bigint, edges bigint, ends boolean, occ {occ_type}")
+    return runs.repartition(parts(runs.sparkSession), "low").mapInArrow(run, f"stretch bigint, check bigint, first bigint, at bigint, edges bigint, ends boolean, occ {occ_type}")
 
 
 def compact_paths(stretches: DataFrame) -> DataFrame:
-    """(stretch, path, place) : nonbranching paths of stretches, named by their source document and number there, and each stretch's first edge in its path.
+    """(stretch, path, place, source, source_check): nonbranching paths of stretches, named by their source document and number there, each stretch's first edge in its path, and the place (id, th, start) and digest of its words at the path's source.
 
     A stretch continues another if both are linked to no other and it stands
     right behind it at its source.
     """
     # a stretch's source is its earliest occurrence, so stretches that occur together have neighbouring sources
-    earliest = F.array_min(F.transform("occ", lambda o: F.struct(o.id.alias("id"), o.th.alias("th"), (o.start + F.col("at")).alias("start"))))
+    earliest = F.array_min(F.transform("occ", lambda o: F.struct(o.id.alias("id"), o.th.alias("th"), (o.start + F.col("at")).alias("start"), F.col("check").alias("check"))))
     own = stretches.groupBy("stretch").agg(F.first("first").alias("first"), F.min("at").alias("least_at"), F.first("edges").alias("edges"), F.min(earliest).alias("o"))
-    own = own.select("stretch", "first", "least_at", "edges", F.col("o.id").alias("id"), F.col("o.th").alias("th"), F.col("o.start").alias("start"))
+    own = own.select("stretch", "first", "least_at", "edges", F.col("o.id").alias("id"), F.col("o.th").alias("th"), F.col("o.start").alias("start"), F.col("o.check").alias("check"))
     behind = stretches.where("ends").select("stretch", F.explode(F.array_distinct(F.transform("occ", lambda o: o.next))).alias("first")).where("first != 0").distinct()
     links = behind.join(own.where("least_at = 0").select("first", F.col("stretch").alias("to")), "first").select("stretch", "to")
     alone = links.groupBy("stretch").agg(F.count("*").alias("n"), F.first("to").alias("to")).where("n = 1").select(F.col("stretch").alias("from"), "to")
@@ -225,7 +230,8 @@ def compact_paths(stretches: DataFrame) -> DataFrame:
     own = own.withColumn("new", F.when(goes_on, 0).otherwise(1))
     own = own.withColumn("number", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     own = own.withColumn("origin", F.min("start").over(Window.partitionBy("id", "th", "number")))
-    return own.select("stretch", F.xxhash64("id", "th", "number").alias("path"), (F.col("start") - F.col("origin")).alias("place"))
+    source = F.struct("id", "th", "start").alias("source")
+    return own.select("stretch", F.xxhash64("id", "th", "number").alias("path"), (F.col("start") - F.col("origin")).alias("place"), source, F.col("check").alias("source_check"))
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -237,7 +243,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     wanted = wanted.withColumnsRenamed({"id": "wid", "th": "wth"})
     chosen = texts.join(wanted, (F.col("th") == F.col("wth")) & F.col("id").eqNullSafe(F.col("wid"))).select("id", "th", "t", "lows")
     found = cut(_stretches(_run_rows(chosen, window)))
-    places = found.select("stretch", "at", "edges", F.explode("occ").alias("o")).join(compact_paths(found), "stretch")
+    # only what has the words that its path has at its source is a repeat
+    paths = compact_paths(found).select("stretch", "path", "place", "source_check")
+    places = found.select("stretch", "check", "at", "edges", F.explode("occ").alias("o")).join(paths, "stretch").where(F.col("check") == F.col("source_check"))
     start = F.col("o.start") + F.col("at")
     span = F.struct("path", (start - F.col("place")).alias("origin"), start.alias("start"), (start + F.col("edges") + (window - 1)).alias("end"))
     return places.select(F.col("o.id").alias("id"), F.col("o.th").alias("th"), span.alias("span")).groupBy("id", "th").agg(F.collect_set("span").alias("spans"))
