@@ -176,4 +176,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = F.when(F.size(gone) == 0, F.col("row").getField(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(all_lines, i)), "\n"))
     count = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
     fields = [text.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns]
-    return rows.select(F.struct(*fields).alias("row"), F.when(F.col("row").getField(text_col).isNull(), 0).otherwise(F.size(all_lines)).cast("long").alias("n_lines"), (count("drop") + count("near")).alias("n_dropped"), count("near").alias("n_near"))
+    # without a split, which only texts that lose lines need
+    n_lines = F.octet_length(F.col("row").getField(text_col)) - F.octet_length(F.replace(F.col("row").getField(text_col), F.lit("\n"), F.lit(""))) + 1
+    return rows.select(F.struct(*fields).alias("row"), F.coalesce(n_lines, F.lit(0)).cast("long").alias("n_lines"), (count("drop") + count("near")).alias("n_dropped"), count("near").alias("n_near"))
