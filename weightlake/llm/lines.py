@@ -78,7 +78,9 @@ def _within_one(a: Column, b: Column) -> Column:
 
 def _line_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """A row for each line with a word: document, place, two hashes, and the half hashes where near matches count."""
-    lines = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("th"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("no", "raw"))
+    # the text's hash below the explode, else each line computes it
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
+    lines = texts.select("id", "th", F.posexplode(F.split("text", "\n", -1)).alias("no", "raw"))
     lines = lines.select("id", "th", "no", F.btrim("raw", F.lit(_BLANK)).alias("line")).where(F.col("line") != "")
     return lines.select("id", "th", "no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), "line")
 
