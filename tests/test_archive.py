@@ -288,3 +288,38 @@ def test_unsafe_paths_fail(spark):
         df = spark.createDataFrame([("a", bad, bytearray(b"x"))], "archive string, path string, content binary")
         with pytest.raises(Exception, match="unsafe path"):
             archive.plan_members(df).collect()
+
+
+def test_compress_leaves_all_or_nothing(spark, tmp_path):
+    schema = "archive string, path string, content binary"
+    root = tmp_path / "lake"
+    good = spark.createDataFrame([("a", "x", bytearray(b"x" * 9000))], schema)
+    bad = good.unionByName(spark.createDataFrame([("a", "../x", bytearray(b"x"))], schema))
+    with pytest.raises(Exception, match="unsafe path"):
+        archive.compress(bad, str(root), OPT)
+    assert list(tmp_path.iterdir()) == []
+    archive.compress(good, str(root), OPT)
+    assert sorted(p.name for p in root.iterdir()) == ["chunks", "members", "tensors"] and list(tmp_path.iterdir()) == [root]
+    with pytest.raises(FileExistsError):
+        archive.compress(good, str(root), OPT)
+    assert contents(archive.restore(str(root), spark, options=OPT)) == {("a", "x"): b"x" * 9000}
+
+
+def test_damaged_differences_are_reported(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    w = bf16(40_000)
+    near = bytearray(w)
+    for i in range(0, 4000, 2):
+        near[i * 20] ^= 1
+    files = [("s", str(n), bytearray(safetensors({"x": ("BF16", [40_000], bytes(raw))}))) for n, raw in enumerate((w, near))]
+    archive.compress(spark.createDataFrame(files, "archive string, path string, content binary"), str(tmp_path / "lake"), OPT)
+    for name in ("members", "chunks"):
+        df = spark.read.parquet(str(tmp_path / "lake" / name))
+        if name == "chunks":
+            hurt = F.col("codec") == c.C_DELTA
+            assert df.where(hurt).count() > 0
+            want = {("checksum differs", r.dst) for r in df.where(hurt).collect()}
+            df = df.withColumn("crc", F.when(hurt, F.col("crc") + 1).otherwise(F.col("crc")))
+        df.write.partitionBy("archive").parquet(f"{tmp_path}/hurt/{name}")
+    assert {(r.what, r.at) for r in archive.faults(f"{tmp_path}/hurt", spark, OPT).collect()} == want

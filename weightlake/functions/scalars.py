@@ -39,6 +39,11 @@ def human_size(n: Column) -> Column:
     return out
 
 
+def transfer_rate(per_second: Column) -> Column:
+    """Bytes a second in whole MiB, halves to even."""
+    return F.format_string("%.0f MiB/s", F.bround(per_second.cast("double") / 2.0**20, 0))
+
+
 def safe_path(path: Column) -> Column:
     """Whether a member path stays below its folder: relative, no drive, no empty or parent step."""
     steps = F.split(F.regexp_replace(path, r"\\", "/"), "/")

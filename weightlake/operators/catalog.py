@@ -41,9 +41,16 @@ def totals(catalog: DataFrame) -> DataFrame:
 
 
 def report(catalog: DataFrame) -> DataFrame:
-    """A row for each entry and one total row."""
-    rows = catalog.rollup("name").agg(F.sum("original_size").alias("original_size"), F.sum("stored_size").alias("stored_size"), F.sum("files").alias("files"))
-    return rows.withColumn("ratio", share(F.col("original_size"), F.col("stored_size"))).withColumn("name", F.coalesce("name", F.lit("total")))
+    """A row for each entry, by name, and one total row at the end."""
+    rows = catalog.rollup("name").agg(F.grouping("name").alias("_all"), F.sum("original_size").alias("original_size"), F.sum("stored_size").alias("stored_size"), F.sum("files").alias("files"))
+    return rows.withColumn("ratio", share(F.col("original_size"), F.col("stored_size"))).orderBy("_all", "name").withColumn("name", F.coalesce("name", F.lit("total"))).drop("_all")
+
+
+def extents(members: DataFrame, chunks: DataFrame) -> DataFrame:
+    """For each archive of ``members`` its size when restored and its longest chunk, 0 where it has none."""
+    size = members.groupBy("archive").agg(F.max(F.col("dst") + F.col("size")).alias("archive_size"))
+    longest = chunks.groupBy("archive").agg(F.max("rlen").alias("block_bytes"))
+    return size.join(longest, "archive", "left").select("archive", F.coalesce("archive_size", F.lit(0)).alias("archive_size"), F.coalesce("block_bytes", F.lit(0)).alias("block_bytes"))
 
 
 def rebuild(members: DataFrame, chunks: DataFrame) -> DataFrame:

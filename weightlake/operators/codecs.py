@@ -122,7 +122,12 @@ def merge_tallies(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return a.unionByName(b, allowMissingColumns=True).groupBy(*keys).agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in sums])
 
 
+def ordered_tally(tally: DataFrame, keys: list[str]) -> DataFrame:
+    """A tally as it is shown: the methods of each key by raw bytes, most first."""
+    return tally.orderBy(*keys, F.desc("raw"), "method")
+
+
 def codec_table(encoded: DataFrame, keys: list[str]) -> DataFrame:
-    """Chunks, raw bytes and stored bytes by codec."""
+    """Chunks, raw bytes and stored bytes by codec, in the order of names."""
     names = F.create_map(*[F.lit(x) for i, n in enumerate(c.CODEC_NAMES) for x in (i, n)])
-    return encoded.groupBy(*keys, names[F.col("codec")].alias("codec")).agg(F.count("*").alias("chunks"), F.sum("rlen").alias("raw"), F.sum("clen").alias("stored"))
+    return encoded.groupBy(*keys, names[F.col("codec")].alias("codec")).agg(F.count("*").alias("chunks"), F.sum("rlen").alias("raw"), F.sum("clen").alias("stored")).orderBy(*keys, "codec")

@@ -157,3 +157,9 @@ def coverage_faults(chunks: DataFrame, total: DataFrame, keys: list[str]) -> Dat
     rows = rows.unionByName(total.select(*keys, F.col("total").alias("dst"), F.lit(0).cast("long").alias("rlen"), F.lit(True).alias("_end")))
     rows = rows.withColumn("expected", F.coalesce(F.sum("rlen").over(Window.partitionBy(*keys).orderBy("_end", "dst", "rlen").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return rows.where("dst != expected").select(*keys, "dst", "expected")
+
+
+def in_order(chunks: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """(keys, in_order): whether offsets never fall when rows are read in the order given."""
+    before = F.lag("dst").over(Window.partitionBy(*keys).orderBy(*order))
+    return chunks.withColumn("_up", F.coalesce(F.col("dst") >= before, F.lit(True))).groupBy(*keys).agg(F.every("_up").alias("in_order"))

@@ -7,6 +7,7 @@ their source by its offset in the archive's output space.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -130,6 +131,12 @@ def find_append_deltas(tensors: DataFrame, files: DataFrame, members: DataFrame,
     return _worthwhile(both, options).select(*KEYS, "start", "end", F.col("base_pos").alias("src"))
 
 
+def _place(spark: SparkSession, path: str):
+    """The file system of a path, and the path as it takes it."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
 def plan(files: DataFrame, options: Options = Options(), root: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """members, tensors and planned chunks of files (archive, path, content); with a root, behind what the archives there hold, and against it."""
     members = plan_members(files)
@@ -176,11 +183,29 @@ def encode(files: DataFrame, members: DataFrame, planned: DataFrame, options: Op
     return done.withColumn("rlen", F.when(copy, F.col("end") - F.col("start")).otherwise(F.col("rlen"))).withColumn("crc", F.when(copy, F.lit(None)).otherwise(F.col("crc"))).withColumn("chunk_id", F.col("dst"))
 
 
-def compress(files: DataFrame, root: str, options: Options = Options(), mode: str = "errorifexists") -> None:
-    """Writes files (archive, path, content) as archives below a root."""
-    members, tensors, planned = plan(files, options)
-    for name, df in (("members", members), ("tensors", tensors), ("chunks", encode(files, members, planned, options))):
-        df.write.mode(mode).partitionBy("archive").parquet(f"{root}/{name}")
+def compress(files: DataFrame, root: str, options: Options = Options()) -> None:
+    """Writes files (archive, path, content) as archives below a root, which must not hold any yet.
+
+    The three tables are written beside the root and moved there in one step
+    when all are whole; if anything fails, nothing is left.
+    """
+    spark = files.sparkSession
+    fs, top = _place(spark, root)
+    if fs.exists(top) and len(fs.listStatus(top)):
+        raise FileExistsError(root)
+    beside = f"{root.rstrip('/')}.part-{uuid.uuid4().hex}"
+    part = _place(spark, beside)[1]
+    try:
+        members, tensors, planned = plan(files, options)
+        for name, df in (("members", members), ("tensors", tensors), ("chunks", encode(files, members, planned, options))):
+            df.write.partitionBy("archive").parquet(f"{beside}/{name}")
+        # only an empty folder goes; a rename onto a folder would move into it
+        if fs.exists(top):
+            fs.delete(top, False)
+        if not fs.rename(part, top):
+            raise FileExistsError(root)
+    finally:
+        fs.delete(part, True)
 
 
 def append(files: DataFrame, root: str, options: Options = Options()) -> None:
@@ -201,15 +226,19 @@ def decoded(chunks: DataFrame, options: Options = Options(), verify: bool = True
     own = codecs.decode_chunks(chunks.where(~F.col("codec").isin(c.C_REF, c.C_DELTA)), options.settings.buckets, verify)
     need = chunks.where(F.col("codec").isin(c.C_REF, c.C_DELTA))
     sources = reads.resolve_sources(chunks.select("archive", "chunk_id", "dst", "rlen", "codec", "src"), keys, c.C_REF, c.C_DELTA, options.chunk_size)
+    rest = codecs.decode_chunks(_with_sources(need, sources, own), options.settings.buckets, verify, base="base", copied="copied")
+    return own.unionByName(rest.select(*own.columns))
+
+
+def _with_sources(need: DataFrame, sources: DataFrame, own: DataFrame) -> DataFrame:
+    """Copies and differences with their source bytes in ``base`` and ``copied``."""
     parts = sources.join(own.select("archive", F.col("chunk_id").alias("source_chunk"), "data"), ["archive", "source_chunk"], "left")
     chain = F.raise_error(F.lit("a copy or difference points at another one")).cast("binary")
     piece = F.when(F.col("source_codec").isin(c.C_REF, c.C_DELTA), chain).otherwise(F.substring("data", (F.col("begin") + 1).cast("int"), (F.col("stop") - F.col("begin")).cast("int")))
     parts = parts.select("archive", "for_chunk", "at", piece.alias("piece"))
     joined = parts.groupBy("archive", F.col("for_chunk").alias("chunk_id")).agg(F.sort_array(F.collect_list(F.struct("at", "piece"))).alias("p"))
     base = joined.select("archive", "chunk_id", F.aggregate("p", F.unhex(F.lit("")), lambda a, x: F.concat(a, x["piece"])).alias("base"))
-    rest = need.join(base, ["archive", "chunk_id"], "left").withColumn("copied", F.col("base"))
-    rest = codecs.decode_chunks(rest, options.settings.buckets, verify, base="base", copied="copied")
-    return own.unionByName(rest.select(*own.columns))
+    return need.join(base, ["archive", "chunk_id"], "left").withColumn("copied", F.col("base"))
 
 
 def _decoded_for(requests: DataFrame, chunks: DataFrame, options: Options) -> DataFrame:
@@ -229,7 +258,13 @@ def faults(root: str, spark: SparkSession, options: Options = Options()) -> Data
     lost = reads.unresolved(chunks, sources, ["archive"], c.C_REF, c.C_DELTA).select("archive", F.lit("missing source").alias("what"), F.col("chunk_id").alias("at"))
     own = codecs.try_decode(chunks.where(~F.col("codec").isin(c.C_REF, c.C_DELTA)), options.settings.buckets)
     bad = own.where("error IS NOT NULL").select("archive", F.col("error").alias("what"), F.col("dst").alias("at"))
-    return gaps.unionByName(lost).unionByName(chain).unionByName(bad)
+    # copies and differences are decoded too, but for those that are reported for their sources' places
+    named = lost.unionByName(chain).select("archive", F.col("at").alias("chunk_id")).distinct()
+    need = chunks.where(F.col("codec").isin(c.C_REF, c.C_DELTA)).join(named, ["archive", "chunk_id"], "left_anti")
+    plain = sources.where(~F.col("source_codec").isin(c.C_REF, c.C_DELTA))
+    rest = codecs.try_decode(_with_sources(need, plain, own), options.settings.buckets, base="base", copied="copied")
+    more = rest.where("error IS NOT NULL").select("archive", F.col("error").alias("what"), F.col("dst").alias("at"))
+    return gaps.unionByName(lost).unionByName(chain).unionByName(bad).unionByName(more)
 
 
 def restore(root: str, spark: SparkSession, path: str | None = None, options: Options = Options()) -> DataFrame:

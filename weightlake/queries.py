@@ -625,3 +625,30 @@ def store_raw(spark, sf):
 def prefix_sample(spark, sf):
     """The members that begin within the first 200000 bytes: a bench's prefix by bytes."""
     return planning.member_offsets(docs(spark, sf).drop("data"), ["doc_id"]).where("dst < 200000").select("doc_id", "size")
+
+
+@query("SELECT o_orderkey, printf('%.0f MiB/s', o_totalprice * 1000 / 1048576) AS shown FROM orders WHERE o_totalprice IS NOT NULL")
+def transfer_rate(spark, sf):
+    o = table(spark, sf, "orders").where("o_totalprice IS NOT NULL")
+    return o.select("o_orderkey", s.transfer_rate(F.col("o_totalprice") * 1000).alias("shown"))
+
+
+@query(f"WITH {_CHUNKS}, m AS (SELECT source AS archive, max(dst + size) AS n FROM placed GROUP BY 1), l AS (SELECT source AS archive, max(rlen) AS n FROM chunks WHERE doc_id % 2 = 0 GROUP BY 1) SELECT m.archive, coalesce(m.n, 0)::BIGINT AS archive_size, coalesce(l.n, 0)::BIGINT AS block_bytes FROM m LEFT JOIN l ON l.archive = m.archive")
+def archive_extents(spark, sf):
+    """Restored sizes and longest chunks, of chunks that only every other document has."""
+    placed = planning.member_offsets(docs(spark, sf).drop("data"), ["doc_id"]).withColumnRenamed("source", "archive")
+    chunks = doc_chunks(spark, sf).where("doc_id % 2 = 0").withColumnRenamed("source", "archive")
+    return catalog.extents(placed, chunks)
+
+
+@query(f"WITH {_CHUNKS}, w AS (SELECT source, dst, lag(dst) OVER (PARTITION BY source ORDER BY rlen % 3, dst) AS p FROM chunks) SELECT source, bool_and(coalesce(dst >= p, true)) AS in_order FROM w GROUP BY source")
+def chunk_order(spark, sf):
+    """Whether chunks that are listed by a remainder of their lengths happen to be in the order of offsets."""
+    chunks = doc_chunks(spark, sf).select("source", "dst", (F.col("rlen") % 3).alias("k"))
+    return planning.in_order(chunks, ["source"], ["k", "dst"])
+
+
+@query()
+def method_listing(spark, sf):
+    """The tally of methods in the order of a report."""
+    return codecs.ordered_tally(method_tally(spark, sf), ["source"])
