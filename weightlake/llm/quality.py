@@ -6,8 +6,9 @@ rows say from which score on a document is dropped.
 
 Defined results: a null or empty text has no words and fails the base rule;
 a row is judged by its own text alone, so repeated rows and repeated ids get
-equal verdicts; an empty table gives an empty result; without labelled rows
-no threshold is set and the base rule decides alone; other columns, whatever
+equal verdicts; an empty table gives an empty result; of
+conflicting labels of one id the least counts; without rows labelled good no
+threshold is set and the base rule decides alone; other columns, whatever
 their names, are not looked at.
 """
 
