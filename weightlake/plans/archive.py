@@ -18,7 +18,7 @@ from ..functions.scalars import safe_path
 from ..functions.tables import BYTES, DELTA, REF
 from ..operators import catalog, codecs, dedup, planning, reads
 from ..sources.containers import regions_of, tensor_index
-from .session import kept
+from .session import hadoop_path, kept
 
 KEYS = ["archive", "path"]
 
@@ -131,12 +131,6 @@ def find_append_deltas(tensors: DataFrame, files: DataFrame, members: DataFrame,
     return _worthwhile(both, options).select(*KEYS, "start", "end", F.col("base_pos").alias("src"))
 
 
-def _place(spark: SparkSession, path: str):
-    """The file system of a path, and the path as it takes it."""
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
-
-
 def plan(files: DataFrame, options: Options = Options(), root: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """members, tensors and planned chunks of files (archive, path, content); with a root, behind what the archives there hold, and against it."""
     members = plan_members(files)
@@ -190,11 +184,11 @@ def compress(files: DataFrame, root: str, options: Options = Options()) -> None:
     when all are whole; if anything fails, nothing is left.
     """
     spark = files.sparkSession
-    fs, top = _place(spark, root)
+    fs, top = hadoop_path(spark, root)
     if fs.exists(top) and len(fs.listStatus(top)):
         raise FileExistsError(root)
     beside = f"{root.rstrip('/')}.part-{uuid.uuid4().hex}"
-    part = _place(spark, beside)[1]
+    part = hadoop_path(spark, beside)[1]
     try:
         members, tensors, planned = plan(files, options)
         for name, df in (("members", members), ("tensors", tensors), ("chunks", encode(files, members, planned, options))):

@@ -25,6 +25,12 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def hadoop_path(spark: SparkSession, path: str):
+    """The file system of a path, and the path as it takes it."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
 def running_total(df: DataFrame, value: str, order: list[str], into: str, parts: int | None = None) -> DataFrame:
     """Adds the sum of ``value`` over all earlier rows in ``order``.
 
