@@ -2,14 +2,18 @@
 
 An archive is three Parquet tables below a root (members, tensors, chunks),
 partitioned by archive. Chunk bytes are encoded; copies and differences name
-their source by its offset in the archive's output space.
+their source by its offset in the archive's output space. Rows that are
+appended carry a batch, and are seen once a marker for it lies in ``_commits``.
 """
 
 from __future__ import annotations
 
+import os
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +22,7 @@ from ..functions.scalars import safe_path
 from ..functions.tables import BYTES, DELTA, REF
 from ..operators import catalog, codecs, dedup, planning, reads
 from ..sources.containers import regions_of, tensor_index
+from ..sources.ranges import open_store
 from .session import hadoop_path, kept
 
 KEYS = ["archive", "path"]
@@ -99,13 +104,40 @@ def find_deltas(tensors: DataFrame, files: DataFrame, members: DataFrame, refs:
     return _worthwhile(both, options).join(dst, ["archive", "base_path"]).select(*KEYS, "start", "end", (F.col("dst") + F.col("base_start")).alias("src"))
 
 
-def _stored(root: str, name: str, spark: SparkSession) -> DataFrame:
-    return spark.read.parquet(f"{root}/{name}").withColumn("archive", F.col("archive").cast("string"))
+COMMITS = "_commits"
+#: The tables' columns; one without rows has no files to take them from.
+TABLES = {
+    "members": "path string, size bigint, dst bigint, kind string, batch string, archive string",
+    "tensors": "path string, name string, dtype string, shape array<bigint>, start bigint, end bigint, esize int, kind int, btype int, batch string, archive string",
+    "chunks": f"dst bigint, path string, start bigint, end bigint, esize int, kind int, src bigint, btype int, ikind int, rlen bigint, clen bigint, crc bigint, codec int, inner_codec int, layout array<int>, streams {codecs.STREAMS}, chunk_id bigint, batch string, archive string",
+}
+
+
+def commits(root: str, spark: SparkSession) -> list[str]:
+    """The markers of what was appended whole: a label, ``@`` and the batch."""
+    fs, place = hadoop_path(spark, f"{root}/{COMMITS}")
+    return sorted(x.getPath().getName() for x in fs.listStatus(place)) if fs.exists(place) else []
+
+
+def _committed(root: str, spark: SparkSession, label: str) -> bool:
+    return any(x.rpartition("@")[0] == label for x in commits(root, spark))
+
+
+def _commit(root: str, spark: SparkSession, label: str, batch: str) -> None:
+    fs, place = hadoop_path(spark, f"{root}/{COMMITS}/{label}@{batch}")
+    if not fs.createNewFile(place):
+        raise FileExistsError(str(place))
+
+
+def stored(root: str, name: str, spark: SparkSession) -> DataFrame:
+    """A table of the archives below a root, without what an append that failed left there."""
+    whole = [x.rpartition("@")[2] for x in commits(root, spark)]
+    return spark.read.schema(TABLES[name]).parquet(f"{root}/{name}").where(F.col("batch").isNull() | F.col("batch").isin(whole)).drop("batch")
 
 
 def _stored_bytes(root: str, requests: DataFrame, request: list[str], options: Options) -> DataFrame:
     """(request, bytes) of ranges (archive, pos, len) of the archives below a root, from chunks with bytes of their own; only chunks that are asked for are decoded."""
-    chunks = _stored(root, "chunks", requests.sparkSession).where(~F.col("codec").isin(c.C_REF, c.C_DELTA))
+    chunks = stored(root, "chunks", requests.sparkSession).where(~F.col("codec").isin(c.C_REF, c.C_DELTA))
     asked = reads.overlaps(requests.select("archive", "pos", "len"), chunks.select("archive", "chunk_id", "dst", "rlen"), ["archive"], options.chunk_size)
     own = codecs.decode_chunks(chunks.join(asked.select("archive", "chunk_id").distinct(), ["archive", "chunk_id"], "left_semi"), options.settings.buckets)
     return reads.read_ranges(requests, own.select("archive", "dst", "rlen", "data"), ["archive"], request, options.chunk_size)
@@ -115,14 +147,14 @@ def find_append_deltas(tensors: DataFrame, files: DataFrame, members: DataFrame,
     """(archive, path, start, end, src): tensors that code clearly smaller against the latest equally named, typed and sized one that the archive holds plainly, by a sample coded both ways."""
     spark = files.sparkSession
     place = lambda t, m: t.join(m.select(*KEYS, "dst"), KEYS).withColumn("pos", F.col("dst") + F.col("start")).drop("dst")
-    stored = place(_delta_rows(_stored(root, "tensors", spark), options), _stored(root, "members", spark))
-    coded = _stored(root, "chunks", spark).where(F.col("codec").isin(c.C_REF, c.C_DELTA)).select("archive", "dst", "rlen")
-    asked = stored.select("archive", "pos", F.col("size").alias("len")).distinct()
-    stored = stored.join(reads.overlaps(asked, coded, ["archive"], options.chunk_size).select("archive", "pos", F.col("len").alias("size")).distinct(), ["archive", "pos", "size"], "left_anti")
+    there = place(_delta_rows(stored(root, "tensors", spark), options), stored(root, "members", spark))
+    coded = stored(root, "chunks", spark).where(F.col("codec").isin(c.C_REF, c.C_DELTA)).select("archive", "dst", "rlen")
+    asked = there.select("archive", "pos", F.col("size").alias("len")).distinct()
+    there = there.join(reads.overlaps(asked, coded, ["archive"], options.chunk_size).select("archive", "pos", F.col("len").alias("size")).distinct(), ["archive", "pos", "size"], "left_anti")
     # copies have no bytes of their own, and sources of copies must keep theirs
     rows = place(_delta_rows(tensors, options), members).join(refs.select(*PLACE), PLACE, "left_anti")
     rows = rows.join(refs.select("archive", F.col("src_path").alias("path"), F.col("src_start").alias("start")), PLACE, "left_anti")
-    cand = kept(dedup.delta_candidates(rows, ["archive", "name", "dtype", "size"], ["pos"], latest=True, bases=stored))
+    cand = kept(dedup.delta_candidates(rows, ["archive", "name", "dtype", "size"], ["pos"], latest=True, bases=there))
     first, length = _sample_of(options)
     own = _tensor_bytes(cand, files).withColumn("own", F.substring("data", first + 1, length)).drop("data")
     asked = cand.select(*PLACE, (F.col("base_pos") + first).alias("pos"), length.alias("len"))
@@ -135,7 +167,7 @@ def plan(files: DataFrame, options: Options = Options(), root: str | None = None
     """members, tensors and planned chunks of files (archive, path, content); with a root, behind what the archives there hold, and against it."""
     members = plan_members(files)
     if root is not None:
-        total = _stored(root, "members", files.sparkSession).groupBy("archive").agg(F.max(F.col("dst") + F.col("size")).alias("total"))
+        total = stored(root, "members", files.sparkSession).groupBy("archive").agg(F.max(F.col("dst") + F.col("size")).alias("total"))
         members = members.join(total, "archive", "left").withColumn("dst", F.col("dst") + F.coalesce("total", F.lit(0))).drop("total")
     members = kept(members)
     index = kept(tensor_index(files, KEYS))
@@ -146,9 +178,9 @@ def plan(files: DataFrame, options: Options = Options(), root: str | None = None
     if options.delta:
         none = files.sparkSession.createDataFrame([], "archive string, path string, start bigint, src_path string, src_start bigint")
         copies = none if refs is None else refs
-        stored = None if root is None else kept(find_append_deltas(tensors, files, members, copies, root, options))
-        deltas = find_deltas(tensors, files, members, copies, options, stored)
-        deltas = kept(deltas if stored is None else deltas.unionByName(stored))
+        taken = None if root is None else kept(find_append_deltas(tensors, files, members, copies, root, options))
+        deltas = find_deltas(tensors, files, members, copies, options, taken)
+        deltas = kept(deltas if taken is None else deltas.unionByName(taken))
     chunks = planning.plan_chunks(regions_of(index, KEYS), members, KEYS, options.chunk_size, refs, deltas)
     chunks = chunks.join(members.select(*KEYS, F.col("dst").alias("m_dst")), KEYS)
     return members.join(index.select(*KEYS, F.col("container").alias("kind")), KEYS), tensors, chunks.withColumn("dst", F.col("m_dst") + F.col("start")).drop("m_dst")
@@ -177,11 +209,12 @@ def encode(files: DataFrame, members: DataFrame, planned: DataFrame, options: Op
     return done.withColumn("rlen", F.when(copy, F.col("end") - F.col("start")).otherwise(F.col("rlen"))).withColumn("crc", F.when(copy, F.lit(None)).otherwise(F.col("crc"))).withColumn("chunk_id", F.col("dst"))
 
 
-def compress(files: DataFrame, root: str, options: Options = Options()) -> None:
+def compress(files: DataFrame, root: str, options: Options = Options(), label: str | None = None) -> None:
     """Writes files (archive, path, content) as archives below a root, which must not hold any yet.
 
     The three tables are written beside the root and moved there in one step
-    when all are whole; if anything fails, nothing is left.
+    when all are whole; if anything fails, nothing is left. A label is kept
+    as by ``append``.
     """
     spark = files.sparkSession
     fs, top = hadoop_path(spark, root)
@@ -192,7 +225,9 @@ def compress(files: DataFrame, root: str, options: Options = Options()) -> None:
     try:
         members, tensors, planned = plan(files, options)
         for name, df in (("members", members), ("tensors", tensors), ("chunks", encode(files, members, planned, options))):
-            df.write.partitionBy("archive").parquet(f"{beside}/{name}")
+            df.withColumn("batch", F.lit(None).cast("string")).write.partitionBy("archive").parquet(f"{beside}/{name}")
+        if label is not None:
+            _commit(beside, spark, label, uuid.uuid4().hex)
         # only an empty folder goes; a rename onto a folder would move into it
         if fs.exists(top):
             fs.delete(top, False)
@@ -202,16 +237,24 @@ def compress(files: DataFrame, root: str, options: Options = Options()) -> None:
         fs.delete(part, True)
 
 
-def append(files: DataFrame, root: str, options: Options = Options()) -> None:
-    """Adds files to archives below a root, coded against what these hold where that is clearly smaller; a path that is there already fails before anything is written."""
+def append(files: DataFrame, root: str, options: Options = Options(), label: str = "") -> None:
+    """Adds files to archives below a root, coded against what these hold where that is clearly smaller.
+
+    A path that is there already fails before anything is written. What is
+    written is seen by readers all at once, when its marker is set; rows of an
+    append that failed are never seen. Files with a label that was appended
+    already are passed over, so that an append may be repeated. One writer at a time.
+    """
     spark = files.sparkSession
-    old = spark.read.parquet(f"{root}/members")
-    if not catalog.clashing(old, files.select(*KEYS), KEYS).isEmpty():
+    if label and _committed(root, spark, label):
+        return
+    if not catalog.clashing(stored(root, "members", spark), files.select(*KEYS), KEYS).isEmpty():
         raise ValueError("members are there already")
     members, tensors, planned = plan(files, options, root)
-    new = [("members", members), ("tensors", tensors), ("chunks", encode(files, members, planned, options, root))]
-    for name, df in [(n, kept(d)) for n, d in new]:
-        df.write.mode("append").partitionBy("archive").parquet(f"{root}/{name}")
+    batch = uuid.uuid4().hex
+    for name, df in (("members", members), ("tensors", tensors), ("chunks", encode(files, members, planned, options, root))):
+        df.withColumn("batch", F.lit(batch)).write.mode("append").partitionBy("archive").parquet(f"{root}/{name}")
+    _commit(root, spark, label, batch)
 
 
 def decoded(chunks: DataFrame, options: Options = Options(), verify: bool = True) -> DataFrame:
@@ -244,7 +287,7 @@ def _decoded_for(requests: DataFrame, chunks: DataFrame, options: Options) -> Da
 
 def faults(root: str, spark: SparkSession, options: Options = Options()) -> DataFrame:
     """(archive, what, at): all that is wrong with archives below a root; empty if they are whole."""
-    members, chunks = spark.read.parquet(f"{root}/members"), spark.read.parquet(f"{root}/chunks")
+    members, chunks = stored(root, "members", spark), stored(root, "chunks", spark)
     total = members.groupBy("archive").agg(F.sum("size").alias("total"))
     gaps = planning.coverage_faults(chunks, total, ["archive"]).select("archive", F.lit("gap or overlap").alias("what"), F.col("dst").alias("at"))
     sources = reads.resolve_sources(chunks.select("archive", "chunk_id", "dst", "rlen", "codec", "src"), ["archive"], c.C_REF, c.C_DELTA, options.chunk_size)
@@ -261,31 +304,111 @@ def faults(root: str, spark: SparkSession, options: Options = Options()) -> Data
     return gaps.unionByName(lost).unionByName(chain).unionByName(bad).unionByName(more)
 
 
+def _member_parts(root: str, spark: SparkSession, archive: str | None, path: str | None, options: Options) -> tuple[DataFrame, DataFrame]:
+    """The members (archive, path, size) of a name, or all, and their decoded chunks."""
+    members, chunks = stored(root, "members", spark), stored(root, "chunks", spark)
+    for name, value in (("archive", archive), ("path", path)):
+        members = members if value is None else members.where(F.col(name) == value)
+    wanted = members.select(*KEYS, "size")
+    if archive is None and path is None:
+        return wanted, decoded(chunks, options)
+    asked = members.where("size > 0").select("archive", F.col("dst").alias("pos"), F.col("size").alias("len"))
+    return wanted, _decoded_for(asked, chunks, options).join(wanted.select(*KEYS), KEYS, "left_semi")
+
+
 def restore(root: str, spark: SparkSession, path: str | None = None, options: Options = Options()) -> DataFrame:
     """(archive, path, content): the files of archives below a root, or those of one path. Empty files have no chunks."""
-    members, chunks = spark.read.parquet(f"{root}/members"), spark.read.parquet(f"{root}/chunks")
-    wanted = members.select(*KEYS) if path is None else members.where(F.col("path") == path).select(*KEYS)
-    if path is None:
-        whole = decoded(chunks, options)
-    else:
-        asked = members.join(wanted, KEYS, "left_semi").where("size > 0").select("archive", F.col("dst").alias("pos"), F.col("size").alias("len"))
-        whole = _decoded_for(asked, chunks, options).join(wanted, KEYS, "left_semi")
+    wanted, whole = _member_parts(root, spark, None, path, options)
     parts = whole.groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct("start", "data"))).alias("p"))
     content = F.aggregate(F.coalesce("p", F.array().cast("array<struct<start:bigint,data:binary>>")), F.unhex(F.lit("")), lambda a, x: F.concat(a, x["data"]))
     return wanted.join(parts, KEYS, "left").select(*KEYS, content.alias("content"))
 
 
+class _FileWriter:
+    """Writes one file after the other; a file has its name only when it is whole."""
+
+    def __init__(self, place: str) -> None:
+        self.store, self.top = open_store(place)
+        self.name, self.out = None, None
+
+    def begin(self, name: str, size: int) -> None:
+        self.name, self.size, self.at = name, size, 0
+        folder, _, base = f"{self.top}/{name}".rpartition("/")
+        self.store.create_dir(folder, recursive=True)
+        self.part = f"{folder}/.{base}.part-{uuid.uuid4().hex}"
+        self.out = self.store.open_output_stream(self.part, compression=None)
+
+    def add(self, start: int, data: pa.Buffer) -> None:
+        if start != self.at:
+            raise ValueError(f"{self.name}: bytes {self.at} to {start} are missing")
+        self.out.write(data)
+        self.at += data.size
+
+    def end(self) -> None:
+        self.out.close()
+        if self.at != self.size:
+            raise ValueError(f"{self.name}: {self.at} of {self.size} bytes")
+        self.store.move(self.part, f"{self.top}/{self.name}")
+        self.out = None
+
+    def give_up(self) -> None:
+        if self.out is not None:
+            self.out.close()
+            self.store.delete_file(self.part)
+
+
+def extract(root: str, dest: str, spark: SparkSession, archive: str | None = None, path: str | None = None, options: Options = Options()) -> DataFrame:
+    """Writes the files of archives below a root, or those of one archive or path, and returns (archive, path, size) of them.
+
+    ``dest`` is a folder that all executors share. Files of one named archive
+    lie right below it, others below the name of theirs. Each file is written
+    by one task, chunk by chunk in order, so it may be of any size; it takes
+    its name, and replaces a file of that name, when it is whole. Members that
+    are asked for and not there raise KeyError.
+    """
+    wanted, whole = _member_parts(root, spark, archive, path, options)
+    if wanted.isEmpty() and not (archive is None and path is None):
+        raise KeyError(path if archive is None else archive if path is None else f"{archive}/{path}")
+    place = dest if ":/" in dest else os.path.abspath(dest)
+    name = F.col("path") if archive is not None else F.concat_ws("/", *KEYS)
+    safe = F.when(safe_path(name), name).otherwise(F.raise_error(F.concat(F.lit("unsafe path: "), name)))
+    rows = wanted.join(whole.select(*KEYS, "start", "data"), KEYS, "left").select(*KEYS, "size", safe.alias("name"), "start", "data")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        writer, done = _FileWriter(place), None
+        schema = pa.schema([("archive", pa.string()), ("path", pa.string()), ("size", pa.int64())])
+        try:
+            for b in batches:
+                for r in range(b.num_rows):
+                    archive, path, size, name, start, data = (b.column(i)[r] for i in range(6))
+                    if name.as_py() != writer.name:
+                        if done:
+                            writer.end()
+                            yield pa.RecordBatch.from_pylist([done], schema)
+                        writer.begin(name.as_py(), size.as_py())
+                        done = {"archive": archive.as_py(), "path": path.as_py(), "size": size.as_py()}
+                    if start.is_valid:
+                        writer.add(start.as_py(), data.as_buffer())
+            if done:
+                writer.end()
+                yield pa.RecordBatch.from_pylist([done], schema)
+        finally:
+            writer.give_up()
+
+    return kept(rows.repartition(*KEYS).sortWithinPartitions(*KEYS, "start").mapInArrow(run, "archive string, path string, size bigint"))
+
+
 def read_tensor(root: str, spark: SparkSession, name: str, options: Options = Options()) -> DataFrame:
     """(archive, path, name, dtype, shape, bytes) of the tensors of a name; KeyError if there is none."""
-    members, tensors = spark.read.parquet(f"{root}/members"), spark.read.parquet(f"{root}/tensors").where(F.col("name") == name)
+    members, tensors = stored(root, "members", spark), stored(root, "tensors", spark).where(F.col("name") == name)
     if tensors.isEmpty():
         raise KeyError(name)
     asked = tensors.join(members.select(*KEYS, "dst"), KEYS).withColumn("pos", F.col("dst") + F.col("start")).withColumn("len", F.col("end") - F.col("start")).drop("dst", "start", "end")
-    chunks = _decoded_for(asked, spark.read.parquet(f"{root}/chunks"), options).select("archive", "dst", "rlen", "data")
+    chunks = _decoded_for(asked, stored(root, "chunks", spark), options).select("archive", "dst", "rlen", "data")
     ask = ["archive", "path", "name"]
     got = reads.read_ranges(asked.select(*ask, "pos", "len"), chunks, ["archive"], ask, options.chunk_size)
     return asked.select(*ask, "dtype", "shape").join(got, ask)
 
 
 def info(root: str, spark: SparkSession) -> DataFrame:
-    return codecs.codec_table(spark.read.parquet(f"{root}/chunks"), ["archive"])
+    return codecs.codec_table(stored(root, "chunks", spark), ["archive"])

@@ -8,6 +8,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans import archive
+from ..plans.session import hadoop_path
+
 #: How far ahead of a continuing reader is fetched.
 AHEAD = 4 << 20
 
@@ -51,3 +54,16 @@ def fetch_ahead(stream: DataFrame, ahead: int = AHEAD) -> DataFrame:
 def append_stream(stream: DataFrame, append: Callable[[DataFrame, int], None], checkpoint: str):
     """Starts a query that appends every micro-batch of new files to an archive."""
     return stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def grow_archive(stream: DataFrame, root: str, checkpoint: str, options: archive.Options = archive.Options()):
+    """Starts a query that keeps a stream of files (archive, path, content) as archives below a root; a micro-batch that is run again is kept once."""
+
+    def append(files: DataFrame, epoch: int) -> None:
+        if files.isEmpty():
+            return
+        fs, top = hadoop_path(files.sparkSession, root)
+        write = archive.append if fs.exists(top) and len(fs.listStatus(top)) else archive.compress
+        write(files, root, options, label=f"batch-{epoch}")
+
+    return append_stream(stream, append, checkpoint)
