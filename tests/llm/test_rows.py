@@ -6,12 +6,13 @@ import zlib
 from collections import Counter
 from fnmatch import fnmatchcase
 
+import duckdb
 import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
 from weightlake.llm import html, packing, quality, urls
-from weightlake.llm.queries import tokenizer_path
+from weightlake.llm.queries import ORACLES, tokenizer_path
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -114,6 +115,32 @@ def test_rules_on_pages(spark):
     assert {r.page_id: r.verdict for r in rows}[11] == "block"
 
 
+def test_rules_are_the_contracts(spark):
+    """The contract's list spelled out; the code, its SQL and the tests above share one list and cannot tell."""
+    contract = {("com", "/en/"): "block", ("example.com", "/en/7"): "allow", ("net", "/de/"): "allow", ("example.net", "/de/8"): "block", ("org", "/es/"): "block"}
+    assert {(h, p): v for v, h, p in urls.PREFIX_RULES} == contract and len(urls.PREFIX_RULES) == len(contract)
+    # some would go the other way by the globs or by a shorter rule
+    cases = [
+        ("http://a.com/en/1", "com/en/", "block"),
+        ("http://docs.a.com/en/x", "com/en/", "block"),
+        ("http://example.com/en/7", "example.com/en/7", "allow"),
+        ("http://spam.example.com/en/71", "example.com/en/7", "allow"),
+        ("http://a.net/de/1", "net/de/", "allow"),
+        ("http://spam.net/de/x.exe", "net/de/", "allow"),
+        ("http://example.net/de/8", "example.net/de/8", "block"),
+        ("http://www.example.net/de/80", "example.net/de/8", "block"),
+        ("http://example.net/de/7", "net/de/", "allow"),
+        ("http://a.org/es/1", "org/es/", "block"),
+    ]
+    df = spark.createDataFrame([(i, u) for i, (u, _, _) in enumerate(cases)], "page_id long, url string")
+    want = {i: (rule, verdict) for i, (_, rule, verdict) in enumerate(cases)}
+    assert {r.page_id: (r.rule, r.verdict) for r in urls.filter_urls(df, urls.UrlFilter(urls.PREFIX_RULES, urls.GLOB_RULES)).collect()} == want
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?)", list(enumerate(u for u, _, _ in cases)))
+    assert {i: (rule, verdict) for i, rule, verdict in con.execute(f"SELECT page_id, rule, verdict FROM ({ORACLES['op8_urls']})").fetchall()} == want
+
+
 # --- HTML
 
 
