@@ -12,7 +12,7 @@ from weightlake.functions import kernels
 MOST = 4 << 20
 
 
-@pytest.mark.parametrize("name", ["roundtrip_split", "method_listing"])
+@pytest.mark.parametrize("name", ["roundtrip_split", "method_listing", "roundtrip_bf16", "roundtrip_rans"])
 def test_large_batches_are_coded_in_pieces(spark, monkeypatch, tmp_path, name):
     # 20 MB of 64 symbols, which the range coder codes by their counts
     texts = [x.tobytes().decode() for x in np.random.default_rng(7).integers(48, 112, (1000, 20_000), dtype=np.uint8)]
